@@ -18,15 +18,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, store
+from .blocks import sides
+from .common import store
 from .components import components
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS // 2
 #: A signature that agrees in less than this share belongs to no pair of similarity 0.8: six standard deviations below.
 AGREE = 0.8 - 6 * (0.8 * 0.2 / (BANDS * ROWS)) ** 0.5
-#: Members of a block when blocks are compared with each other; ids up to which a set of ids is sent to every executor.
-BLOCK, SENT_IDS = 256, 1_000_000
+#: Ids up to which a set of ids is sent to every executor; beyond that it is joined.
+SENT_IDS = 1_000_000
 #: Letters A-Z in lower case; bytes.split() then splits at the six ASCII white space characters.
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 U64 = np.uint64
@@ -179,25 +180,10 @@ def _confirm(spark, rows: DataFrame, nodes: DataFrame, pairs: DataFrame, width:
 
 
 def _across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of nodes that share a bucket but no component (part), as far as signatures and sizes allow a link.
-
-    Parts with a block's worth of members are cut into blocks of their own, smaller ones share blocks. Blocks of
-    the same part are never compared; each pair of other blocks is one group of at most about two blocks' rows.
-    """
-    sizes = members.groupBy("band", "part").agg(F.count("*").alias("own"))
-    small = sizes.groupBy("band").agg(F.sum(F.when(F.col("own") < BLOCK, F.col("own")).otherwise(0)).alias("mixed"))
-    sized = members.join(sizes, ["band", "part"]).join(small, "band")
-    spot = lambda n: F.pmod(F.xxhash64("node"), F.ceil(n / BLOCK))
-    big = F.col("own") >= BLOCK
-    sized = sized.withColumn("block", F.when(big, F.xxhash64("part", spot(F.col("own")))).otherwise(F.pmod(F.xxhash64("part"), F.ceil(F.col("mixed") / BLOCK))))
-    sized = sized.withColumn("of", F.when(big, F.col("part")))
-    sized = sized.join(nodes.select("node", "n", "sig"), "node")
-    blocks = sized.groupBy("band", "block").agg(F.first("of").alias("of"))
-    other = blocks.select("band", F.col("block").alias("block2"), F.col("of").alias("of2"))
-    duos = blocks.join(other, "band").where((F.col("block") <= F.col("block2")) & (F.col("of").isNull() | ~F.col("of").eqNullSafe(F.col("of2")))).select("band", "block", "block2")
-    body = ["band", "block", "block2", "node", "part", "n", "sig"]
-    left = sized.select("band", "block", "node", "part", "n", "sig").join(duos, ["band", "block"]).select(*body, F.lit(0).alias("side"))
-    right = sized.select("band", F.col("block").alias("block2"), "node", "part", "n", "sig").join(duos.where("block <> block2"), ["band", "block2"]).select(*body, F.lit(1).alias("side"))
+    """Pairs (a < b) of nodes that share a bucket but no component (part), as far as signatures and sizes allow a link."""
+    left, right = sides(members.join(nodes.select("node", "n", "sig"), "node"), ["n", "sig"])
+    left = left.withColumn("side", F.lit(0))
+    right = right.where("block <> block2").withColumn("side", F.lit(1))
 
     def compare(t: pa.Table) -> pa.Table:
         node, part, n, side = (t.column(c).to_numpy() for c in ("node", "part", "n", "side"))
