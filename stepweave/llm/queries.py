@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, minhash, mixing, quality, substrings, urls
+from . import chains, decontaminate, language, lines, minhash, mixing, pii, quality, substrings, urls
 
 #: Rules of the url query: host, path prefix, verdict.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
+#: Key of the pseudonyms in the query, fixed so that reruns agree.
+KEY = b"a key of the registered query, 32b"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,6 +32,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op3_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.fuzzy_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.duplicate_substrings(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -53,10 +60,15 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is the query's own; in use it comes from a secret store."""
+    return pii.protect(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_language, op4_substrings, op5_minhash, op6_decontaminate, op7_urls, op8_lines, op10_quality)}
+    return {f.__name__: f for f in (op1_mix, op2_language, op3_chains, op4_substrings, op5_minhash, op6_decontaminate, op7_urls, op8_lines, op9_pii, op10_quality)}
