@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chains, decontaminate, language, lines, minhash, mixing, pii, quality, substrings, urls
+from . import chains, decontaminate, language, lines, minhash, mixing, oracles, pii, quality, substrings, urls
 
 #: Rules of the url query: host, path prefix, verdict.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -72,3 +72,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_mix, op2_language, op3_chains, op4_substrings, op5_minhash, op6_decontaminate, op7_urls, op8_lines, op9_pii, op10_quality)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "op1_mix": oracles.MIX,
+        "op4_substrings": oracles.SUBSTRINGS,
+        "op5_minhash": oracles.NEAR,
+        "op6_decontaminate": oracles.LEAKS,
+        "op7_urls": oracles.url_sql(URL_RULES),
+        "op10_quality": oracles.quality_sql(),
+    }
