@@ -1,9 +1,10 @@
 """Fuzzy duplicate lines by MinHash, in DataFrame functions only: one line of each component of similar lines is kept.
 
 Lines are brought to a normal form (lower case, outer white space cut) and equal ones become one node, summed up before the
-shuffle, so a line that is everywhere costs one row for each task. A node's signature has minima and maxima of hashed
-character shingles that begin at word starts; bands of four values deal nodes into buckets. Hashing is done row by row
-inside whole-stage code, not in lambdas. In each bucket nodes are compared with the bucket's smallest node; buckets known
+shuffle, so a line that is everywhere costs one row for each task. A node's signature is taken from hashed character
+shingles that begin at word starts: under each of several permutations the four smallest hashes are one band and the four
+largest another. Two nodes share such a band as likely as four independent minima (similarity to the power of 4), for an
+eighth of the hashing. In each bucket nodes are compared with the bucket's smallest node; buckets known
 from a sample to be hot are salted first and their smallest nodes compared with each other. Where a bucket still holds
 several components these are compared across. Every link is confirmed by the exact Jaccard similarity of the full sets
 of five-character shingles; components come from hooking and contraction.
@@ -20,7 +21,7 @@ from .blocks import sides
 from .common import NO_ID, WORD, discard, fresh, store
 from .components import components
 
-BANDS = 16
+BANDS, ROWS = 16, 4
 #: Length of the shingles of the signature and of the exact check.
 START, EXACT = 8, 5
 #: Lines up to this length (in normal form) are left alone: they say too little to be called copies.
@@ -31,7 +32,7 @@ SAMPLE, HOT, SALTS = 64, 256, 64
 SENT_IDS = 1_000_000
 
 _DRAW = random.Random(31)
-MASKS = [_DRAW.getrandbits(63) for _ in range(2 * BANDS)]
+MASKS = [_DRAW.getrandbits(63) for _ in range(BANDS // 2)]
 
 
 def normal(line: Column) -> Column:
@@ -52,24 +53,24 @@ def exact_set(line: Column) -> Column:
     return F.when(F.length(line) < EXACT, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{EXACT}}}))"), F.lit(1))))
 
 
-def starts(line: Column) -> Column:
-    """The characters from each word start on, START at most and from two words at most; long runs without a space are cut up."""
-    w = F.split(F.regexp_replace(line, r"([^ ]{16})(?=[^ ]{16})", "$1 "), " +")
+def pieces(line: Column) -> Column:
+    """The words of a line; long runs without a space are cut up."""
+    return F.split(F.regexp_replace(line, r"([^ ]{16})(?=[^ ]{16})", "$1 "), " +")
+
+
+def starts(w: Column) -> Column:
+    """The characters from each word start on, START at most and from two words at most; w has to be a column, else each step makes it anew."""
     return F.transform(w, lambda x, i: F.left(F.concat_ws(" ", x, F.get(w, i + 1)), F.lit(START)))
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
     """One row for each normal form: node, doc, at (first place), n (places), size (length), bands."""
-    place = F.min(F.struct("doc", "at")).alias("first")
-    own = rows.groupBy("node").agg(place, F.count("*").alias("n"), F.first("line").alias("line"))
-    cut = own.withColumn("starts", starts(F.col("line"))).select("node", "first", "n", F.length("line").alias("size"), F.explode("starts").alias("s"))
-    cut = cut.select("node", "first", "n", "size", F.xxhash64("s").alias("x"))
-    hashed = [F.xxhash64(F.col("x").bitwiseXOR(F.lit(m))) for m in MASKS]
-    values = [f(h).alias(f"{name}{i}") for i, h in enumerate(hashed) for f, name in ((F.min, "lo"), (F.max, "hi"))]
-    # the table is dealt out by node already: no further shuffle
-    sums = cut.groupBy("node").agg(F.first("first").alias("first"), F.first("n").alias("n"), F.first("size").alias("size"), *values)
-    keys = [F.xxhash64(F.lit(i), *(F.col(f"{name}{k}") for k in (2 * i, 2 * i + 1) for name in ("lo", "hi"))) for i in range(BANDS)]
-    return sums.select("node", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "n", "size", F.array(*keys).alias("bands"))
+    own = rows.groupBy("node").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
+    own = own.withColumn("w", pieces(F.col("line"))).withColumn("x", F.array_distinct(F.transform(starts(F.col("w")), lambda s: F.xxhash64(s))))
+    own = own.withColumns({f"v{i}": F.sort_array(F.transform("x", lambda x, m=m: F.xxhash64(x.bitwiseXOR(F.lit(m))))) for i, m in enumerate(MASKS)})
+    ends = lambda v: (F.slice(v, F.lit(1), F.lit(ROWS)), F.slice(v, F.greatest(F.lit(1), F.size(v) - ROWS + 1), F.lit(ROWS)))
+    keys = [F.xxhash64(F.lit(2 * i + k), end) for i in range(len(MASKS)) for k, end in enumerate(ends(F.col(f"v{i}")))]
+    return own.select("node", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "n", F.length("line").alias("size"), F.array(*keys).alias("bands"))
 
 
 def _stars(members: DataFrame, hot: list[int]) -> DataFrame:
