@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import sides
-from .common import NO_ID, WORD, discard, fresh, store
+from .common import NO_ID, discard, fresh, store
 from .components import components
 
 BANDS, ROWS = 16, 4
@@ -36,7 +36,7 @@ MASKS = [_DRAW.getrandbits(63) for _ in range(BANDS // 2)]
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")))
+    return F.lower(F.trim(line, F.lit(" \t\n\x0b\x0c\r")))
 
 
 def split_lines(text: Column) -> Column:
@@ -88,6 +88,8 @@ def _stars(members: DataFrame, hot: list[int]) -> DataFrame:
 
 def _confirm(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that are similar, by the full sets of their lines."""
+    if pairs.isEmpty():
+        return pairs
     wanted = store(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
     ids = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
     texts = store(rows.select("node", "line").join(ids, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line")), "texts")
@@ -105,7 +107,7 @@ def _confirm(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def duplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 80) -> DataFrame:
     """(doc, marks): for each document id the lines to remove, named by mark()."""
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.posexplode(split_lines(F.col(text))).alias("at", "raw"))
-    rows = rows.where(F.col("raw").rlike(WORD)).select("doc", "at", normal(F.col("raw")).alias("line"), mark(F.col("at"), F.col("raw")).alias("mark"))
+    rows = rows.select("doc", "at", normal(F.col("raw")).alias("line"), mark(F.col("at"), F.col("raw")).alias("mark"))
     rows = rows.where(F.length("line") > SHORT).withColumn("node", F.xxhash64("line"))
     nodes = store(_nodes(rows.select("node", "doc", "at", "line")), "lines")
     members = nodes.select("node", F.explode("bands").alias("band"))
