@@ -1,10 +1,10 @@
 """Fuzzy duplicate lines by MinHash, in DataFrame functions only: one line of each component of similar lines is kept.
 
 Lines are brought to a normal form (lower case, outer white space cut) and equal ones become one node, summed up before the
-shuffle, so a line that is everywhere costs one row for each task. A node's signature is taken from hashed character
-shingles that begin at word starts: under each of several permutations the four smallest hashes are one band and the four
-largest another. Two nodes share such a band as likely as four independent minima (similarity to the power of 4), for an
-eighth of the hashing. In each bucket nodes are compared with the bucket's smallest node; buckets known
+shuffle, so a line that is everywhere costs one row for each task. A node's signature is taken from the hashes of all its
+five-character shingles, sorted once and read as a circle: a band is ROWS hashes that follow each other. Lines of up to
+WHOLE shingles give every such run; as similar sets have ROWS common shingles for each one that differs, two of them always
+share a run. Longer lines give the runs behind fixed points of the circle, 32 up to FEW shingles and 16 beyond. In each bucket nodes are compared with the bucket's smallest node; buckets known
 from a sample to be hot are salted first and their smallest nodes compared with each other. Where a bucket still holds
 several components these are compared across. Every link is confirmed by the exact Jaccard similarity of the full sets
 of five-character shingles; components come from hooking and contraction.
@@ -12,8 +12,6 @@ of five-character shingles; components come from hooking and contraction.
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +19,10 @@ from .blocks import sides
 from .common import NO_ID, discard, fresh, store
 from .components import components
 
-BANDS, ROWS = 16, 4
-#: Length of the shingles of the signature and of the exact check.
-START, EXACT = 8, 5
+#: Hashes of a band; shingles up to which every run is a band, and up to which there are 32 points; bands at most.
+ROWS, WHOLE, FEW, BANDS = 4, 32, 96, 32
+#: Length of the shingles.
+EXACT = 5
 #: Lines up to this length (in normal form) are left alone: they say too little to be called copies.
 SHORT = 20
 #: One line in SAMPLE is looked at to find hot buckets; they have HOT or more of those lines, and over a thousandth of all.
@@ -31,9 +30,6 @@ SAMPLE, HOT, SALTS = 64, 256, 64
 #: Ids up to which a set of ids is sent to every executor; beyond that it is joined.
 SENT_IDS = 1_000_000
 
-_DRAW = random.Random(31)
-MASKS = [_DRAW.getrandbits(63) for _ in range(BANDS // 2)]
-
 
 def normal(line: Column) -> Column:
     return F.lower(F.trim(line, F.lit(" \t\n\x0b\x0c\r")))
@@ -48,29 +44,30 @@ def mark(at: Column, line: Column) -> Column:
     return F.xxhash64(at.cast("int"), line)
 
 
-def exact_set(line: Column) -> Column:
-    """Distinct five-character shingles; the line itself if it is shorter."""
-    return F.when(F.length(line) < EXACT, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{EXACT}}}))"), F.lit(1))))
+def shingles(line: Column) -> Column:
+    """Five-character shingles; the line itself if it is shorter."""
+    return F.when(F.length(line) < EXACT, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{EXACT}}}))"), F.lit(1)))
 
 
-def pieces(line: Column) -> Column:
-    """The words of a line; long runs without a space are cut up."""
-    return F.split(F.regexp_replace(line, r"([^ ]{16})(?=[^ ]{16})", "$1 "), " +")
+def exact_set(line: Column) -> Column:
+    return F.array_distinct(shingles(line))
 
 
-def starts(w: Column) -> Column:
-    """The characters from each word start on, START at most and from two words at most; w has to be a column, else each step makes it anew."""
-    return F.transform(w, lambda x, i: F.left(F.concat_ws(" ", x, F.get(w, i + 1)), F.lit(START)))
+def _behind(v: Column, bits: int) -> Column:
+    """Of sorted hashes the first behind each multiple of 2 ** bits; v has to be a column, else each step makes it anew."""
+    return F.filter(v, lambda x, i: (i == 0) | (F.shiftright(x, bits) != F.shiftright(F.get(v, i - 1), bits)))
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
     """One row for each normal form: node, doc, at (first place), n (places), size (length), bands."""
     own = rows.groupBy("node").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
-    own = own.withColumn("w", pieces(F.col("line"))).withColumn("x", F.array_distinct(F.transform(starts(F.col("w")), lambda s: F.xxhash64(s))))
-    own = own.withColumns({f"v{i}": F.sort_array(F.transform("x", lambda x, m=m: F.xxhash64(x.bitwiseXOR(F.lit(m))))) for i, m in enumerate(MASKS)})
-    ends = lambda v: (F.slice(v, F.lit(1), F.lit(ROWS)), F.slice(v, F.greatest(F.lit(1), F.size(v) - ROWS + 1), F.lit(ROWS)))
-    keys = [F.xxhash64(F.lit(2 * i + k), end) for i in range(len(MASKS)) for k, end in enumerate(ends(F.col(f"v{i}")))]
-    return own.select("node", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "n", F.length("line").alias("size"), F.array(*keys).alias("bands"))
+    own = own.withColumn("v", F.sort_array(F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s)))))
+    v, n = F.col("v"), F.size("v")
+    own = own.withColumn("from", F.when(n <= WHOLE, v).when(n <= FEW, _behind(v, 59)).otherwise(_behind(v, 60)))
+    own = own.withColumn("circle", F.concat(v, F.slice(v, 1, ROWS - 1)))
+    run = lambda x: F.slice("circle", F.array_position(v, x).cast("int"), F.lit(ROWS))
+    keys = F.array_distinct(F.transform("from", lambda x: F.xxhash64(F.sort_array(run(x)))))
+    return own.select("node", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "n", F.length("line").alias("size"), keys.alias("bands"))
 
 
 def _stars(members: DataFrame, hot: list[int]) -> DataFrame:
