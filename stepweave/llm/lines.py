@@ -23,8 +23,8 @@ from .components import components
 ROWS, WHOLE, FEW, BANDS = 4, 32, 96, 32
 #: Length of the shingles.
 EXACT = 5
-#: Lines up to this length (in normal form) are left alone: they say too little to be called copies.
-SHORT = 20
+#: Lines up to this length (in normal form) are left alone: blank ones.
+SHORT = 0
 #: One line in SAMPLE is looked at to find hot buckets; they have HOT or more of those lines, and over a thousandth of all.
 SAMPLE, HOT, SALTS = 64, 256, 64
 #: Ids up to which a set of ids is sent to every executor; beyond that it is joined.
@@ -142,8 +142,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     """docs with the lines of text that copy another removed, and n_lines and n_removed added.
 
     Of similar lines (Jaccard similarity of percent or more of their five-character shingles in normal form, and whatever is
-    linked through others) the first by doc_id and place stays. Lines of up to SHORT characters, and lines without a word,
-    always stay. Null text stays null, with 0 lines. Null ids come after all others. Rows that share an id (or
+    linked through others) the first by doc_id and place stays, however short. Blank lines always stay. Null text stays null, with 0 lines. Null ids come after all others. Rows that share an id (or
     have none) are taken as one document: the same line at the same place is one line. Lines of any length are compared
     whole. No rows: no rows. Other columns stay; a column named like an added one is replaced.
     """

@@ -31,3 +31,12 @@ def test_lines_of_few_words_and_without_spaces_are_found(spark):
     lost = [i for i in range(1, len(texts), 2) if got[i] != ""]
     assert len(lost) <= 1, [(texts[i - 1], texts[i]) for i in lost[:5]]
     assert all(got[i] == texts[i] for i in range(0, len(texts), 2))
+
+
+def test_short_lines_are_judged(spark):
+    short = ["Read more", "Share on Facebook", "All rights reserved.", "ab", "版权所有,未经许可不得转载。", "}"]
+    texts = ["\n".join([*short, "", " ", f"only here {i}"]) for i in range(3)]
+    got = left(spark, [*texts, "click here for more 1\nclick here for more 2"])
+    want = brute.lines(list(enumerate([*texts, "click here for more 1\nclick here for more 2"])), 0)
+    assert got == want
+    assert got[1] == "\n \nonly here 1" and got[3] == "click here for more 1"
