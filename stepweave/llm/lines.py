@@ -59,7 +59,7 @@ def _behind(v: Column, bits: int) -> Column:
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
-    """One row for each normal form: node, doc, at (first place), n (places), size (length), bands."""
+    """One row for each normal form: node, doc, at (first place), n (places), size (distinct shingles), bands."""
     own = rows.groupBy("node").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
     own = own.withColumn("v", F.sort_array(F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s)))))
     v, n = F.col("v"), F.size("v")
@@ -67,7 +67,7 @@ def _nodes(rows: DataFrame) -> DataFrame:
     own = own.withColumn("circle", F.concat(v, F.slice(v, 1, ROWS - 1)))
     run = lambda x: F.slice("circle", F.array_position(v, x).cast("int"), F.lit(ROWS))
     keys = F.array_distinct(F.transform("from", lambda x: F.xxhash64(F.sort_array(run(x)))))
-    return own.select("node", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "n", F.length("line").alias("size"), keys.alias("bands"))
+    return own.select("node", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "n", n.alias("size"), keys.alias("bands"))
 
 
 def _stars(members: DataFrame, hot: list[int]) -> DataFrame:
@@ -83,16 +83,20 @@ def _stars(members: DataFrame, hot: list[int]) -> DataFrame:
     return out.distinct()
 
 
+def _sizes_allow(a: str, b: str, percent: int) -> Column:
+    """Whether sets of these sizes can be similar: no two are more so than the smaller size over the larger."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
 def _confirm(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that are similar, by the full sets of their lines."""
     if pairs.isEmpty():
         return pairs
     wanted = store(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
     ids = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
-    texts = store(rows.select("node", "line").join(ids, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line")), "texts")
-    x, y = (texts.select(F.col("node").alias(k), F.col("line").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    both = pairs.join(y, "b").join(x, "a")
-    both = both.where(100 * F.least(F.length("x"), F.length("y")) >= percent * F.greatest(F.length("x"), F.length("y")) - 100 * EXACT)
+    texts = store(rows.select("node", "line").join(ids, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line")).withColumn("size", F.size(exact_set(F.col("line")))), "texts")
+    x, y = (texts.select(F.col("node").alias(k), F.col("line").alias(v), F.col("size").alias(f"{v}_size")) for k, v in (("a", "x"), ("b", "y")))
+    both = pairs.join(y, "b").join(x, "a").where(_sizes_allow("x_size", "y_size", percent))
     both = both.withColumns({"p": exact_set(F.col("x")), "q": exact_set(F.col("y"))})
     both = both.withColumn("same", F.size(F.array_intersect("p", "q")))
     out = store(both.where(100 * F.col("same") >= percent * (F.size("p") + F.size("q") - F.col("same"))).select("a", "b"), "links")
@@ -122,7 +126,7 @@ def duplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     open_ = store(placed.join(mixed, "band", "left_semi"), "open")
     left, right = sides(open_.join(nodes.select("node", "size"), "node"), ["size"])
     right = right.select("band", "block", "block2", F.col("node").alias("node2"), F.col("part").alias("part2"), F.col("size").alias("size2"))
-    pairs = left.join(right, ["band", "block", "block2"]).where((F.col("part") != F.col("part2")) & (100 * F.least("size", "size2") >= percent * F.greatest("size", "size2") - 100 * EXACT))
+    pairs = left.join(right, ["band", "block", "block2"]).where((F.col("part") != F.col("part2")) & _sizes_allow("size", "size2", percent))
     pairs = pairs.where((F.col("block") != F.col("block2")) | (F.col("node") < F.col("node2"))).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
     across = _confirm(rows, store(pairs.join(stars, ["a", "b"], "left_anti"), "across"), percent)
     groups = store(components(links.union(across)), "labels") if not across.isEmpty() else first

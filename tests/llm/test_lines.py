@@ -40,3 +40,10 @@ def test_short_lines_are_judged(spark):
     want = brute.lines(list(enumerate([*texts, "click here for more 1\nclick here for more 2"])), 0)
     assert got == want
     assert got[1] == "\n \nonly here 1" and got[3] == "click here for more 1"
+
+
+def test_lines_of_repeats_are_linked_at_any_length(spark):
+    texts = ["=" * 40, "=" * 70, "* * * " * 8, "* * * " * 30, "ha " * 9 + "ha", "ha " * 200 + "ha", "-" * 5, "-" * 900, "=" * 39 + "#"]
+    got = left(spark, texts)
+    assert got == brute.lines(list(enumerate(texts)), 0)
+    assert [i for i, t in got.items() if t] == [0, 2, 4, 6, 8]
