@@ -3,7 +3,8 @@
 A value is turned into a number below the count of all values of its format, that number is permuted by a keyed Feistel
 network (walking on until the result is in range), and the result is written in the same format: a card number stays a
 card number with a right check digit, a date a date. Equal values get equal pseudonyms in all documents, whatever
-separators they are written with, and the key's owner can turn them back. One pass over the table, no shuffle.
+separators they are written with, and the key's owner can turn them back; only a card or IBAN whose pseudonym would be
+misread together with digits next to it gets another one there. One pass over the table, no shuffle.
 """
 
 from __future__ import annotations
@@ -204,6 +205,39 @@ FINDERS = {k: re.compile(p.replace(r"\3", r"\1").replace(r"\4", r"\2")) for k, (
 HINT = re.compile(r"[0-9@]")
 
 
+#: Kinds of no fixed length: of what the pattern takes, pieces that end before a separator are tried too, the longest first.
+PIECES = ("iban", "card")
+#: Characters from which a piece can reach a place, and more.
+REACH = 64
+
+
+def _pick(kind: str, text: str, at: int, taken: list[tuple[int, int]], f: Feistel, back: bool) -> tuple[int, int, str] | None:
+    """The first value of a kind from at on: start, end, replacement. After a failed start the search goes on one character behind it."""
+    find, write = FINDERS[kind], KINDS[kind][1]
+    while m := find.search(text, at):
+        a, ends = m.start(), [m.end()]
+        if kind in PIECES:
+            ends += [i for i in range(m.end() - 1, a, -1) if text[i] in " -" and find.fullmatch(text, a, i)]
+        for b in ends:
+            new = None if _over(taken, a, b) else write(text[a:b], f, back)
+            if new is not None:
+                return a, b, new
+        at = a + 1
+    return None
+
+
+def _settle(kind: str, text: str, at: int, a: int, b: int, new: str, taken: list[tuple[int, int]], f: Feistel, back: bool) -> str:
+    """Permutes on until the replacement, among the digits around it, is read as the same stretch: so it can be undone."""
+    base = max(0, at - 1, a - REACH)
+    before, behind, own = text[base:a], text[b : b + REACH], [(x - base, y - base) for x, y in taken if y > base and x < b + REACH]
+    for _ in range(1000):
+        got = _pick(kind, before + new + behind, at - base if at > base else 0, own, f, back)
+        if got is not None and got[:2] == (a - base, b - base):
+            break
+        new = KINDS[kind][1](new, f, back) or new
+    return new
+
+
 def pseudonymise(text: str, f: Feistel, back: bool = False) -> tuple[str, Counter]:
     """The text with each value that passes its check replaced, and how many of each kind. back undoes it."""
     counts: Counter = Counter()
@@ -211,12 +245,13 @@ def pseudonymise(text: str, f: Feistel, back: bool = False) -> tuple[str, Counte
         return text, counts
     found: list[tuple[int, int, str]] = []
     taken: list[tuple[int, int]] = []
-    for kind, (_, write) in KINDS.items():
-        for m in FINDERS[kind].finditer(text):
-            new = write(m[0], f, back)
-            if new is not None and not _over(taken, m.start(), m.end()):
-                found.append((m.start(), m.end(), new))
-                counts[kind] += 1
+    for kind in KINDS:
+        at = 0
+        while got := _pick(kind, text, at, taken, f, back):
+            a, b, new = got
+            found.append((a, b, _settle(kind, text, at, a, b, new, taken, f, back) if kind in PIECES else new))
+            counts[kind] += 1
+            at = b
         taken = sorted((a, b) for a, b, _ in found)
     out, last = [], 0
     for a, b, new in sorted(found):
