@@ -49,10 +49,6 @@ def shingles(line: Column) -> Column:
     return F.when(F.length(line) < EXACT, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{EXACT}}}))"), F.lit(1)))
 
 
-def exact_set(line: Column) -> Column:
-    return F.array_distinct(shingles(line))
-
-
 def _behind(v: Column, bits: int) -> Column:
     """Of sorted hashes the first behind each multiple of 2 ** bits; v has to be a column, else each step makes it anew."""
     return F.filter(v, lambda x, i: (i == 0) | (F.shiftright(x, bits) != F.shiftright(F.get(v, i - 1), bits)))
@@ -63,8 +59,8 @@ def _nodes(rows: DataFrame) -> DataFrame:
     own = rows.groupBy("node").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
     own = own.withColumn("v", F.sort_array(F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s)))))
     v, n = F.col("v"), F.size("v")
-    own = own.withColumn("from", F.when(n <= WHOLE, v).when(n <= FEW, _behind(v, 59)).otherwise(_behind(v, 60)))
     own = own.withColumn("circle", F.concat(v, F.slice(v, 1, ROWS - 1)))
+    own = own.withColumn("from", F.when(n <= WHOLE, F.slice("circle", F.lit(1), n)).when(n <= FEW, _behind(v, 59)).otherwise(_behind(v, 60)))
     run = lambda x: F.slice("circle", F.array_position(v, x).cast("int"), F.lit(ROWS))
     keys = F.array_distinct(F.transform("from", lambda x: F.xxhash64(F.sort_array(run(x)))))
     return own.select("node", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "n", n.alias("size"), keys.alias("bands"))
@@ -88,18 +84,34 @@ def _sizes_allow(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _parity(hashes: Column, side: int) -> Column:
+    """64 bits, each the parity of the hashes that fall on it; bit 12 of a hash says on which side it counts."""
+    one = lambda h: F.shiftright(h, 12).bitwiseXOR(F.lit(side)).bitwiseAND(F.lit(1).cast("long"))
+    put = lambda h: F.call_function("shiftleft", one(h), h.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda got, h: got.bitwiseXOR(put(h)))
+
+
+def _parities_allow(percent: int) -> Column:
+    """Whether x and y can be similar: sets differ in as many shingles at least as their parities do in bits."""
+    bits = F.bit_count(F.col("x_p").bitwiseXOR(F.col("y_p"))) + F.bit_count(F.col("x_q").bitwiseXOR(F.col("y_q")))
+    return (100 + percent) * bits <= (100 - percent) * (F.col("x_size") + F.col("y_size"))
+
+
 def _confirm(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that are similar, by the full sets of their lines."""
     if pairs.isEmpty():
         return pairs
     wanted = store(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
     ids = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
-    texts = store(rows.select("node", "line").join(ids, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line")).withColumn("size", F.size(exact_set(F.col("line")))), "texts")
-    x, y = (texts.select(F.col("node").alias(k), F.col("line").alias(v), F.col("size").alias(f"{v}_size")) for k, v in (("a", "x"), ("b", "y")))
-    both = pairs.join(y, "b").join(x, "a").where(_sizes_allow("x_size", "y_size", percent))
-    both = both.withColumns({"p": exact_set(F.col("x")), "q": exact_set(F.col("y"))})
-    both = both.withColumn("same", F.size(F.array_intersect("p", "q")))
-    out = store(both.where(100 * F.col("same") >= percent * (F.size("p") + F.size("q") - F.col("same"))).select("a", "b"), "links")
+    texts = rows.select("node", "line").join(ids, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
+    texts = texts.withColumn("v", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))))
+    texts = store(texts.select("node", "line", F.size("v").alias("size"), _parity(F.col("v"), 0).alias("p"), _parity(F.col("v"), 1).alias("q")), "texts")
+    x, y = (texts.select(F.col("node").alias(k), F.col("line").alias(v), *(F.col(c).alias(f"{v}_{c}") for c in ("size", "p", "q"))) for k, v in (("a", "x"), ("b", "y")))
+    both = pairs.join(y, "b").join(x, "a")
+    # in a branch, or the sets are made for pairs that the bounds rule out as well
+    same = F.size(F.array_intersect(shingles(F.col("x")), shingles(F.col("y"))))
+    similar = F.when(_sizes_allow("x_size", "y_size", percent) & _parities_allow(percent), (100 + percent) * same >= percent * (F.col("x_size") + F.col("y_size")))
+    out = store(both.where(F.coalesce(similar, F.lit(False))).select("a", "b"), "links")
     discard(texts)
     discard(wanted)
     return out
