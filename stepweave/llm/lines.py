@@ -2,12 +2,15 @@
 
 Lines are brought to a normal form (lower case, outer white space cut) and equal ones become one node, summed up before the
 shuffle, so a line that is everywhere costs one row for each task. A node's signature is taken from the hashes of all its
-five-character shingles, sorted once and read as a circle: a band is ROWS hashes that follow each other. Lines of up to
-WHOLE shingles give every such run; as similar sets have ROWS common shingles for each one that differs, two of them always
-share a run. Longer lines give the runs behind fixed points of the circle, 32 up to FEW shingles and 16 beyond. In each bucket nodes are compared with the bucket's smallest node; buckets known
-from a sample to be hot are salted first and their smallest nodes compared with each other. Where a bucket still holds
-several components these are compared across. Every link is confirmed by the exact Jaccard similarity of the full sets
-of five-character shingles; components come from hooking and contraction.
+five-character shingles, sorted once and read as a circle. Lines of up to SMALL shingles give every run of FEW hashes that follow
+each other; as similar sets have FEW common shingles for each one that differs, two of them always share a run. Lines of more than
+LARGE give the runs of MANY behind fixed points of the circle: the minima of so many turned permutations; other points in a run
+count as hashes that all lines have. In between both are given.
+
+In each bucket nodes are compared with the bucket's smallest node; buckets known from a sample to be hot are salted first and
+their smallest nodes compared with each other. Buckets that still hold several components compare them with a leader
+drawn by hash, ROUNDS times. What is left apart then is compared across, in blocks. Every link is confirmed by the exact
+Jaccard similarity of the full sets of shingles; components come from hooking and contraction.
 """
 
 from __future__ import annotations
@@ -19,14 +22,18 @@ from .blocks import sides
 from .common import NO_ID, discard, fresh, store
 from .components import components
 
-#: Hashes of a band; shingles up to which every run is a band, and up to which there are 32 points; bands at most.
-ROWS, WHOLE, FEW, BANDS = 4, 32, 96, 32
-#: Length of the shingles.
+#: Hashes of a run of a small line and of a large one; shingles from which a line is large, and up to which it is small.
+FEW, MANY, LARGE, SMALL = 4, 6, 32, 40
+#: 2 ** BITS fixed points lie on the circle of signed 64-bit hashes; each is a band of a large line.
+BITS = 4
+#: Length of the shingles in UTF-16 code units: characters, but that those beyond the basic plane count as two.
 EXACT = 5
 #: Lines up to this length (in normal form) are left alone: blank ones.
 SHORT = 0
 #: One line in SAMPLE is looked at to find hot buckets; they have HOT or more of those lines, and over a thousandth of all.
 SAMPLE, HOT, SALTS = 64, 256, 64
+#: Times that open buckets draw a leader.
+ROUNDS = 2
 #: Ids up to which a set of ids is sent to every executor; beyond that it is joined.
 SENT_IDS = 1_000_000
 
@@ -44,26 +51,29 @@ def mark(at: Column, line: Column) -> Column:
     return F.xxhash64(at.cast("int"), line)
 
 
-def shingles(line: Column) -> Column:
-    """Five-character shingles; the line itself if it is shorter."""
-    return F.when(F.length(line) < EXACT, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{EXACT}}}))"), F.lit(1)))
+def hashes(line: Column) -> Column:
+    """One hash for each five-character shingle, in order; of the line itself if it is shorter."""
+    own = lambda u, i: F.xxhash64(F.substring(u, i, F.lit(2 * EXACT)))
+    places = lambda u: F.sequence(F.lit(1), F.greatest(F.octet_length(u) - (2 * EXACT - 1), F.lit(1)), F.lit(2))
+    # within transform() the encoded line is made once, not for each shingle
+    return F.get(F.transform(F.array(F.encode(line, "UTF-16BE")), lambda u: F.transform(places(u), lambda i: own(u, i))), F.lit(0))
 
 
-def _behind(v: Column, bits: int) -> Column:
-    """Of sorted hashes the first behind each multiple of 2 ** bits; v has to be a column, else each step makes it anew."""
-    return F.filter(v, lambda x, i: (i == 0) | (F.shiftright(x, bits) != F.shiftright(F.get(v, i - 1), bits)))
-
-
-def _nodes(rows: DataFrame) -> DataFrame:
-    """One row for each normal form: node, doc, at (first place), n (places), size (distinct shingles), bands."""
-    own = rows.groupBy("node").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
-    own = own.withColumn("v", F.sort_array(F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s)))))
-    v, n = F.col("v"), F.size("v")
-    own = own.withColumn("circle", F.concat(v, F.slice(v, 1, ROWS - 1)))
-    own = own.withColumn("from", F.when(n <= WHOLE, F.slice("circle", F.lit(1), n)).when(n <= FEW, _behind(v, 59)).otherwise(_behind(v, 60)))
-    run = lambda x: F.slice("circle", F.array_position(v, x).cast("int"), F.lit(ROWS))
-    keys = F.array_distinct(F.transform("from", lambda x: F.xxhash64(F.sort_array(run(x)))))
-    return own.select("node", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "n", n.alias("size"), keys.alias("bands"))
+def _members(rows: DataFrame) -> DataFrame:
+    """For each normal form a row for each of its bands: node, doc, at (first place), times (places), turn (from 0), band."""
+    own = rows.groupBy("node").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("times"), F.first("line").alias("line"))
+    own = own.select("node", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "times", F.array_distinct(hashes(F.col("line"))).alias("v"))
+    points = F.array(*(F.lit(p << (64 - BITS)) for p in range(-(2 ** (BITS - 1)), 2 ** (BITS - 1))))
+    kind, none = "array<struct<ready:boolean,k:long>>", F.array().cast("array<long>")
+    large, ring = F.size("v") > LARGE, lambda v, n: F.concat(v, F.slice(v, 1, n - 1))
+    run = lambda c, i: F.struct(F.lit(True).alias("ready"), F.xxhash64(F.sort_array(F.slice(c, i, FEW))).alias("k"))
+    runs = F.transform(F.array(ring(F.sort_array("v"), FEW)), lambda c: F.transform(F.sequence(F.lit(1), F.size("v")), lambda i: run(c, i)))
+    small = F.when(F.size("v") <= SMALL, F.get(runs, F.lit(0))).otherwise(F.array().cast(kind))
+    own = own.withColumn("b", F.concat(small, F.when(large, F.transform(points, lambda p: F.struct(F.lit(False).alias("ready"), p.alias("k")))).otherwise(F.array().cast(kind))))
+    own = own.withColumn("circle", F.when(large, ring(F.sort_array(F.concat("v", points)), MANY + 1)).otherwise(none)).drop("v")
+    own = own.select("node", "doc", "at", "times", "circle", F.posexplode("b").alias("turn", "b"))
+    behind = F.slice("circle", F.array_position("circle", F.col("b.k")).cast("int") + 1, F.lit(MANY))
+    return own.select("node", "doc", "at", "times", "turn", F.when(F.col("b.ready"), F.col("b.k")).otherwise(F.xxhash64(behind)).alias("band"))
 
 
 def _stars(members: DataFrame, hot: list[int]) -> DataFrame:
@@ -79,24 +89,6 @@ def _stars(members: DataFrame, hot: list[int]) -> DataFrame:
     return out.distinct()
 
 
-def _sizes_allow(a: str, b: str, percent: int) -> Column:
-    """Whether sets of these sizes can be similar: no two are more so than the smaller size over the larger."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-
-def _parity(hashes: Column, side: int) -> Column:
-    """64 bits, each the parity of the hashes that fall on it; bit 12 of a hash says on which side it counts."""
-    one = lambda h: F.shiftright(h, 12).bitwiseXOR(F.lit(side)).bitwiseAND(F.lit(1).cast("long"))
-    put = lambda h: F.call_function("shiftleft", one(h), h.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda got, h: got.bitwiseXOR(put(h)))
-
-
-def _parities_allow(percent: int) -> Column:
-    """Whether x and y can be similar: sets differ in as many shingles at least as their parities do in bits."""
-    bits = F.bit_count(F.col("x_p").bitwiseXOR(F.col("y_p"))) + F.bit_count(F.col("x_q").bitwiseXOR(F.col("y_q")))
-    return (100 + percent) * bits <= (100 - percent) * (F.col("x_size") + F.col("y_size"))
-
-
 def _confirm(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that are similar, by the full sets of their lines."""
     if pairs.isEmpty():
@@ -104,52 +96,78 @@ def _confirm(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     wanted = store(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
     ids = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
     texts = rows.select("node", "line").join(ids, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
-    texts = texts.withColumn("v", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))))
-    texts = store(texts.select("node", "line", F.size("v").alias("size"), _parity(F.col("v"), 0).alias("p"), _parity(F.col("v"), 1).alias("q")), "texts")
-    x, y = (texts.select(F.col("node").alias(k), F.col("line").alias(v), *(F.col(c).alias(f"{v}_{c}") for c in ("size", "p", "q"))) for k, v in (("a", "x"), ("b", "y")))
+    texts = store(texts.select("node", "line", F.size(F.array_distinct(hashes(F.col("line")))).alias("size")), "texts")
+    x, y = (texts.select(F.col("node").alias(k), F.col("line").alias(v), F.col("size").alias(f"{v}_size")) for k, v in (("a", "x"), ("b", "y")))
     both = pairs.join(y, "b").join(x, "a")
-    # in a branch, or the sets are made for pairs that the bounds rule out as well
-    same = F.size(F.array_intersect(shingles(F.col("x")), shingles(F.col("y"))))
-    similar = F.when(_sizes_allow("x_size", "y_size", percent) & _parities_allow(percent), (100 + percent) * same >= percent * (F.col("x_size") + F.col("y_size")))
-    out = store(both.where(F.coalesce(similar, F.lit(False))).select("a", "b"), "links")
+    both = both.where(100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size"))  # else they cannot be similar
+    same = F.size(F.array_intersect(hashes(F.col("x")), hashes(F.col("y"))))
+    out = store(both.where((100 + percent) * same >= percent * (F.col("x_size") + F.col("y_size"))).select("a", "b"), "links")
     discard(texts)
     discard(wanted)
     return out
 
 
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, node, part) of the buckets with three members or more that are not all of one component."""
+    placed = members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("part"))
+    mixed = placed.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2")
+    return store(placed.join(mixed.select("band"), "band", "left_semi"), "open")
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _led(open_: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of a leader of each bucket, drawn by hash, with the members of other components."""
+    drawn = open_.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "part")).alias("top"))
+    drawn = drawn.select("band", F.col("top.node").alias("lead"), F.col("top.part").alias("of"))
+    return open_.join(drawn, "band").where("part <> of").select(*_pair("node", "lead")).distinct()
+
+
+def _across(open_: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket but no component."""
+    left, right = sides(open_, [])
+    right = right.select("band", "block", "block2", F.col("node").alias("node2"), F.col("part").alias("part2"))
+    pairs = left.join(right, ["band", "block", "block2"]).where("part <> part2 and (block <> block2 or node < node2)")
+    return pairs.select(*_pair("node", "node2")).distinct()
+
+
 def duplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 80) -> DataFrame:
     """(doc, marks): for each document id the lines to remove, named by mark()."""
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.posexplode(split_lines(F.col(text))).alias("at", "raw"))
     rows = rows.select("doc", "at", normal(F.col("raw")).alias("line"), mark(F.col("at"), F.col("raw")).alias("mark"))
     rows = rows.where(F.length("line") > SHORT).withColumn("node", F.xxhash64("line"))
-    nodes = store(_nodes(rows.select("node", "doc", "at", "line")), "lines")
-    members = nodes.select("node", F.explode("bands").alias("band"))
+    banded = store(_members(rows.select("node", "doc", "at", "line")), "bands")
+    nodes, members = banded.where("turn = 0").drop("turn", "band"), banded.select("node", "band")
     sample = members.where(F.pmod("node", F.lit(SAMPLE)) == 0).groupBy("band").count().where(F.col("count") >= HOT)
-    least = nodes.count() / SAMPLE / 1000  # so that no more than BANDS * 1000 buckets can be hot
+    least = nodes.count() / SAMPLE / 1000  # so that no more than SMALL * 1000 buckets can be hot
     hot = [r["band"] for r in sample.where(F.col("count") > least).select("band").collect()]
-    stars = store(_stars(members, hot), "stars")
-    links = _confirm(rows, stars, percent)
-    first = store(components(links), "labels")
-    # buckets that still hold several components: all members of buckets that have a pair without a link
-    apart = store(stars.join(links, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("node")).distinct(), "apart")
-    touched = nodes.join(apart, "node").select(F.explode("bands").alias("band")).distinct()
-    placed = members.join(touched, "band", "left_semi").join(first, "node", "left").select("band", "node", F.coalesce("label", "node").alias("part"))
-    mixed = placed.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2").select("band")
-    open_ = store(placed.join(mixed, "band", "left_semi"), "open")
-    left, right = sides(open_.join(nodes.select("node", "size"), "node"), ["size"])
-    right = right.select("band", "block", "block2", F.col("node").alias("node2"), F.col("part").alias("part2"), F.col("size").alias("size2"))
-    pairs = left.join(right, ["band", "block", "block2"]).where((F.col("part") != F.col("part2")) & _sizes_allow("size", "size2", percent))
-    pairs = pairs.where((F.col("block") != F.col("block2")) | (F.col("node") < F.col("node2"))).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    across = _confirm(rows, store(pairs.join(stars, ["a", "b"], "left_anti"), "across"), percent)
-    groups = store(components(links.union(across)), "labels") if not across.isEmpty() else first
+    tried = store(_stars(members, hot), "stars")
+    links = _confirm(rows, tried, percent)
+    groups = store(components(links), "labels")
+    # only buckets that have a pair without a link can hold several components
+    apart = store(tried.join(links, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("node")).distinct(), "apart")
+    touched = members.join(F.broadcast(apart) if apart.count() <= SENT_IDS else apart, "node", "left_semi").select("band").distinct()
+    shared = store(members.join(touched, "band", "left_semi").distinct(), "shared")
+    for turn in range(ROUNDS + 1):
+        open_ = _open(shared, groups)
+        new = _led(open_, turn) if turn < ROUNDS else _across(open_)
+        new = store(new.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = _confirm(rows, new, percent)
+        if not more.isEmpty():
+            links = store(links.union(more), "links")
+            groups = store(components(links), "labels")
+        tried = tried.union(new)
+        discard(open_)
     # what a component keeps is its first line; lines with one place and no link have nothing to remove
-    fate = nodes.join(groups, "node", "left").where(F.col("label").isNotNull() | (F.col("n") > 1))
+    fate = nodes.join(groups, "node", "left").where(F.col("label").isNotNull() | (F.col("times") > 1))
     fate = fate.select("node", F.coalesce("label", "node").alias("label"), F.struct("doc", "at").alias("first"))
     keep = fate.groupBy("label").agg(F.min("first").alias("keep"))
     fate = store(fate.join(keep, "label").select("node", F.col("keep.doc").alias("k_doc"), F.col("keep.at").alias("k_at")), "fate")
     gone = rows.select("node", "doc", "at", "mark").join(fate, "node").where((F.col("doc") != F.col("k_doc")) | (F.col("at") != F.col("k_at")))
     out = store(gone.groupBy("doc").agg(F.collect_set("mark").alias("marks")), "gone")
-    for x in (stars, apart, open_):
+    for x in (banded, apart, shared):
         discard(x)
     return out
 
