@@ -64,16 +64,17 @@ def _members(rows: DataFrame) -> DataFrame:
     own = rows.groupBy("node").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("times"), F.first("line").alias("line"))
     own = own.select("node", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "times", F.array_distinct(hashes(F.col("line"))).alias("v"))
     points = F.array(*(F.lit(p << (64 - BITS)) for p in range(-(2 ** (BITS - 1)), 2 ** (BITS - 1))))
-    kind, none = "array<struct<ready:boolean,k:long>>", F.array().cast("array<long>")
-    large, ring = F.size("v") > LARGE, lambda v, n: F.concat(v, F.slice(v, 1, n - 1))
-    run = lambda c, i: F.struct(F.lit(True).alias("ready"), F.xxhash64(F.sort_array(F.slice(c, i, FEW))).alias("k"))
+    none, ring = F.array().cast("array<long>"), lambda v, n: F.concat(v, F.slice(v, 1, n - 1))
+    run = lambda c, i: F.xxhash64(F.sort_array(F.slice(c, i, FEW)))
     runs = F.transform(F.array(ring(F.sort_array("v"), FEW)), lambda c: F.transform(F.sequence(F.lit(1), F.size("v")), lambda i: run(c, i)))
-    small = F.when(F.size("v") <= SMALL, F.get(runs, F.lit(0))).otherwise(F.array().cast(kind))
-    own = own.withColumn("b", F.concat(small, F.when(large, F.transform(points, lambda p: F.struct(F.lit(False).alias("ready"), p.alias("k")))).otherwise(F.array().cast(kind))))
-    own = own.withColumn("circle", F.when(large, ring(F.sort_array(F.concat("v", points)), MANY + 1)).otherwise(none)).drop("v")
-    own = own.select("node", "doc", "at", "times", "circle", F.posexplode("b").alias("turn", "b"))
-    behind = F.slice("circle", F.array_position("circle", F.col("b.k")).cast("int") + 1, F.lit(MANY))
-    return own.select("node", "doc", "at", "times", "turn", F.when(F.col("b.ready"), F.col("b.k")).otherwise(F.xxhash64(behind)).alias("band"))
+    own = own.withColumn("small", F.when(F.size("v") <= SMALL, F.get(runs, F.lit(0))).otherwise(none))
+    own = own.withColumn("circle", F.when(F.size("v") > LARGE, ring(F.sort_array(F.concat("v", points)), MANY + 1)).otherwise(none)).drop("v")
+    # points are told by their low bits; one pass, as array_position() for each would be many
+    point = lambda x, i: (x.bitwiseAND(F.lit(2 ** (64 - BITS) - 1)) == 0) & (i < F.size("circle") - MANY)
+    own = own.withColumn("at_", F.filter(F.transform("circle", lambda x, i: F.when(point(x, i), i)), lambda x: x.isNotNull()))
+    large = F.transform("at_", lambda i: F.xxhash64(F.slice("circle", i + 2, F.lit(MANY))))
+    own = own.select("node", "doc", "at", "times", F.concat("small", large).alias("bands"))
+    return own.select("node", "doc", "at", "times", F.posexplode("bands").alias("turn", "band"))
 
 
 def _stars(members: DataFrame, hot: list[int]) -> DataFrame:
@@ -89,24 +90,26 @@ def _stars(members: DataFrame, hot: list[int]) -> DataFrame:
     return out.distinct()
 
 
-def _confirm(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that are similar, by the full sets of their lines."""
-    if pairs.isEmpty():
-        return pairs
+def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, line, size) of the nodes in pairs; size counts distinct shingles."""
     wanted = store(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
     ids = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
-    texts = rows.select("node", "line").join(ids, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
-    texts = store(texts.select("node", "line", F.size(F.array_distinct(hashes(F.col("line")))).alias("size")), "texts")
-    x, y = (texts.select(F.col("node").alias(k), F.col("line").alias(v), F.col("size").alias(f"{v}_size")) for k, v in (("a", "x"), ("b", "y")))
-    both = pairs.join(y, "b").join(x, "a")
-    both = both.where(100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size"))  # else they cannot be similar
-    same = F.size(F.array_intersect(hashes(F.col("x")), hashes(F.col("y"))))
-    out = store(both.where((100 + percent) * same >= percent * (F.col("x_size") + F.col("y_size"))).select("a", "b"), "links")
-    discard(texts)
+    own = rows.select("node", "line").join(ids, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
+    out = store(own.select("node", "line", F.size(F.array_distinct(hashes(F.col("line")))).alias("size")), "texts")
     discard(wanted)
     return out
 
 
+def _confirm(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that are similar, by the full sets of their lines."""
+    x, y = (texts.select(F.col("node").alias(k), F.col("line").alias(v), F.col("size").alias(f"{v}_size")) for k, v in (("a", "x"), ("b", "y")))
+    sizes = [texts.select(F.col("node").alias(k), F.col("size").alias(f"{k}_size")) for k in ("a", "b")]
+    likely = pairs.join(sizes[0], "a").join(sizes[1], "b").where(100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size"))  # else they cannot be similar
+    both = likely.select("a", "b").join(y, "b").join(x, "a")
+    same = F.size(F.array_intersect(hashes(F.col("x")), hashes(F.col("y"))))
+    return store(both.where((100 + percent) * same >= percent * (F.col("x_size") + F.col("y_size"))).select("a", "b"), "links")
+
+
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(band, node, part) of the buckets with three members or more that are not all of one component."""
     placed = members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("part"))
@@ -144,7 +147,8 @@ def duplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     least = nodes.count() / SAMPLE / 1000  # so that no more than SMALL * 1000 buckets can be hot
     hot = [r["band"] for r in sample.where(F.col("count") > least).select("band").collect()]
     tried = store(_stars(members, hot), "stars")
-    links = _confirm(rows, tried, percent)
+    texts = _texts(rows, tried)  # every node that shares a bucket is in a star
+    links = _confirm(texts, tried, percent)
     groups = store(components(links), "labels")
     # only buckets that have a pair without a link can hold several components
     apart = store(tried.join(links, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("node")).distinct(), "apart")
@@ -152,9 +156,11 @@ def duplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     shared = store(members.join(touched, "band", "left_semi").distinct(), "shared")
     for turn in range(ROUNDS + 1):
         open_ = _open(shared, groups)
+        if open_.isEmpty():
+            break
         new = _led(open_, turn) if turn < ROUNDS else _across(open_)
         new = store(new.join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = _confirm(rows, new, percent)
+        more = _confirm(texts, new, percent)
         if not more.isEmpty():
             links = store(links.union(more), "links")
             groups = store(components(links), "labels")
@@ -167,7 +173,7 @@ def duplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     fate = store(fate.join(keep, "label").select("node", F.col("keep.doc").alias("k_doc"), F.col("keep.at").alias("k_at")), "fate")
     gone = rows.select("node", "doc", "at", "mark").join(fate, "node").where((F.col("doc") != F.col("k_doc")) | (F.col("at") != F.col("k_at")))
     out = store(gone.groupBy("doc").agg(F.collect_set("mark").alias("marks")), "gone")
-    for x in (banded, apart, shared):
+    for x in (banded, texts, apart, shared):
         discard(x)
     return out
 
