@@ -17,17 +17,31 @@ WORD = r"[^\x20\x09-\x0D]+"
 NO_ID = 2**63 - 1
 
 
+#: Rows and bytes of a batch that is handed to a Python worker; texts may be long.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session, where it has not set smaller ones: a worker's memory must not grow with the rows' sizes."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), one of our own, which is then also set."""
+    """The folder of spark.checkpoint.dir, or the one the session has set; a folder of one machine would lose its tables with it."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(conf)
         return conf
     current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
+    if not current and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-"):
+        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))  # driver and executors are one process
         current = spark.sparkContext.getCheckpointDir()
+    if not current:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return current
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK, sides
-from .common import store
+from .common import discard, small_batches, store
 from .components import components
 
 BANDS, ROWS = 32, 4
@@ -33,6 +33,8 @@ AGREE = 0.8 - 6 * (0.8 * 0.2 / (BANDS * ROWS)) ** 0.5
 #: Ids up to which a set of ids is sent to every executor; beyond that it is joined.
 SENT_IDS = 1_000_000
 PARITY = 2048
+#: Shingles of a text from which it makes a batch of its own.
+OUT = 100_000
 #: Members from which a bucket's blocks propose forests.
 LARGE = 16
 #: Letters A-Z in lower case; bytes.split() then splits at the six ASCII white space characters.
@@ -51,7 +53,7 @@ class WordHash(dict):
     """64-bit digests of words; forgets when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         out = self[word] = xxhash.xxh64_intdigest(word)
         return out
@@ -126,6 +128,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     all those with the component's id are kept. Texts are whole, of any length. No rows: no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,11 +157,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     buckets = members.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("band", "lead")
     shared = store(members.join(buckets, "band"), "buckets")
     stars = store(shared.where("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = store(_confirm(spark, rows, nodes, stars, width, percent), "links")
+    links = _confirm(spark, rows, nodes, stars, width, percent)
     # large buckets that hold more than one component
     first = store(components(links), "labels")
     large = _mixed(shared, first, LARGE)
-    more = store(_confirm(spark, rows, nodes, store(_forest(large, nodes, percent).join(stars, ["a", "b"], "left_anti"), "forest"), width, percent), "links")
+    more = _confirm(spark, rows, nodes, store(_forest(large, nodes, percent).join(stars, ["a", "b"], "left_anti"), "forest"), width, percent)
     first = store(components(links.union(more)), "labels") if not more.isEmpty() else first
     # any bucket that does; one of two members had its only pair compared
     open_ = _mixed(shared, first, 3)
@@ -189,23 +192,31 @@ def _confirm(spark, rows: DataFrame, nodes: DataFrame, pairs: DataFrame, width:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
         for batch in batches:
-            own = [shingles(t, cache, width) for t in batch.column("t").to_pylist()]
-            own = [x for x in own if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(x.tobytes()) - 2**63 for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "s"])
-
-    full = store(texts.mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]), "sets")
-    both = pairs.join(full.select(F.col("node").alias("b"), F.col("s").alias("y")), "b").join(full.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                same = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(100 * same >= percent * (len(p) + len(q) - same))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+            own: list[np.ndarray] = []
+            for t in batch.column("t"):
+                if len(one := shingles(t.as_py(), cache, width)):
+                    own.append(one)
+                if sum(map(len, own[-1:])) > OUT or len(own) >= 256:
+                    yield _as_sets(own)
+                    own = []
+            yield _as_sets(own)
+
+    full = store(texts.mapInArrow(sets, "node long, s array<long>").dropDuplicates(["node"]), "sets")
+    x, y = (full.select(F.col("node").alias(k), F.col("s").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    # in the JVM, row by row: a batch of pairs of long texts would be as large as its rows are many
+    both = pairs.join(y, "b").join(x, "a")
+    found = both.where((100 + percent) * F.size(F.array_intersect("x", "y")) >= percent * (F.size("x") + F.size("y"))).select("a", "b")
+    out = store(found, "links")
+    for t in (ids, full):
+        discard(t)
+    return out
+
+
+def _as_sets(own: list[np.ndarray]) -> pa.RecordBatch:
+    cuts = np.r_[0, np.cumsum([len(x) for x in own])].astype(np.int32)
+    values = np.concatenate(own).view(np.int64) if own else np.empty(0, np.int64)
+    nodes = pa.array([xxhash.xxh64_intdigest(x.tobytes()) - 2**63 for x in own], pa.int64())
+    return pa.RecordBatch.from_arrays([nodes, pa.ListArray.from_arrays(pa.array(cuts), pa.array(values))], ["node", "s"])
 
 
 def _across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
