@@ -164,22 +164,18 @@ def day(value: str, f: Feistel, back: bool = False) -> str | None:
         y, m, d = (n[i] for i in order)
     if not (FIRST_DAY.year <= y <= LAST_DAY.year and 1 <= m <= 12 and 1 <= d <= calendar.monthrange(y, m)[1]):
         return None
-    total = (LAST_DAY - FIRST_DAY).days + 1
-    # the month first is a format of its own: only days after the 12th tell it apart, and they stay such
-    if order == (2, 0, 1):
-        days = [FIRST_DAY + timedelta(i) for i in _late_days()]
-        new = days[f.permute("late", len(days), _late_days().index((date(y, m, d) - FIRST_DAY).days), back)]
-    else:
-        new = FIRST_DAY + timedelta(f.permute("day", total, (date(y, m, d) - FIRST_DAY).days, back))
+    # only days after the 12th tell the month first apart: in all ways of writing they stay such, so a date has one pseudonym
+    days = _days(d > 12)
+    new = FIRST_DAY + timedelta(days[f.permute("late" if d > 12 else "early", len(days), bisect.bisect_left(days, (date(y, m, d) - FIRST_DAY).days), back)])
     out = [""] * 3
     for i, v in zip(order, (f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"), strict=True):
         out[i] = v
     return f"{out[0]}{parts[1]}{out[1]}{parts[3]}{out[2]}"
 
 
-@lru_cache(maxsize=1)
-def _late_days() -> list[int]:
-    return [i for i in range((LAST_DAY - FIRST_DAY).days + 1) if (FIRST_DAY + timedelta(i)).day > 12]
+@lru_cache(maxsize=2)
+def _days(late: bool) -> list[int]:
+    return [i for i in range((LAST_DAY - FIRST_DAY).days + 1) if ((FIRST_DAY + timedelta(i)).day > 12) == late]
 
 
 def token(value: str, f: Feistel, back: bool = False) -> str | None:
@@ -211,13 +207,38 @@ PIECES = ("iban", "card")
 REACH = 64
 
 
+#: What stands before the @ of an address, from its end; and from the @ on.
+OWN, DOMAIN = re.compile(r"[A-Za-z0-9._%+-]"), re.compile(r"@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
+
+
+def _email(text: str, at: int) -> tuple[int, int] | None:
+    """The first address from at on. Grown from its @ both ways: a long run without one is passed over once."""
+    while (k := text.find("@", at)) >= 0:
+        a = k
+        while a > at and OWN.match(text, a - 1):
+            a -= 1
+        while a < k and not text[a].isalnum():
+            a += 1
+        if a < k and (m := DOMAIN.match(text, k)):
+            return a, m.end()
+        at = k + 1
+    return None
+
+
+def _find(kind: str, text: str, at: int) -> tuple[int, int] | None:
+    if kind == "email":
+        return _email(text, at)
+    m = FINDERS[kind].search(text, at)
+    return m.span() if m else None
+
+
 def _pick(kind: str, text: str, at: int, taken: list[tuple[int, int]], f: Feistel, back: bool) -> tuple[int, int, str] | None:
     """The first value of a kind from at on: start, end, replacement. After a failed start the search goes on one character behind it."""
     find, write = FINDERS[kind], KINDS[kind][1]
-    while m := find.search(text, at):
-        a, ends = m.start(), [m.end()]
+    while m := _find(kind, text, at):
+        a, ends = m[0], [m[1]]
         if kind in PIECES:
-            ends += [i for i in range(m.end() - 1, a, -1) if text[i] in " -" and find.fullmatch(text, a, i)]
+            ends += [i for i in range(m[1] - 1, a, -1) if text[i] in " -" and find.fullmatch(text, a, i)]
         for b in ends:
             new = None if _over(taken, a, b) else write(text[a:b], f, back)
             if new is not None:
@@ -270,7 +291,8 @@ def protect(docs: DataFrame, key: bytes, text: str = "text", back: bool = False)
     """docs with the values in text replaced, and counts: n_<kind> for each kind, n_pii for all.
 
     Null text stays null, with counts of 0. Values that fail their check (a card's digit, a date that is none) stay. Equal values
-    are replaced alike in all rows. Texts are searched whole, of any length. No rows: no rows. Other columns stay; one
+    are replaced alike in all rows, dates in any way of writing. Hexadecimal in capitals, IPv6 addresses and telephone numbers of
+    other forms than the North American one are not values here. Texts are searched whole, of any length. No rows: no rows. Other columns stay; one
     named like a count is replaced. With back, and the same key, pseudonyms become the values again.
     """
     names = [f"n_{k}" for k in KINDS]
