@@ -102,14 +102,14 @@ def publish(spark: SparkSession, content: bytes) -> str:
     return name
 
 
-def suffixes(host: str) -> list[str]:
-    """The host and what follows each of its dots, the longest first."""
-    return [host[i:] for i in (0, *(k + 1 for k, ch in enumerate(host) if ch == ".")) if i < len(host)]
+def suffixes(host: str, longest: int) -> list[str]:
+    """The host and what follows each of its dots, the longest first; none that is longer than longest, the longest host of the list."""
+    return [host[i:] for i in range(max(0, len(host) - longest), len(host)) if i == 0 or host[i - 1] == "."]
 
 
-def probes_of(host: str, path: str, lengths: Sequence[int]) -> list[str]:
+def probes_of(host: str, path: str, lengths: Sequence[int], longest: int) -> list[str]:
     """Rule keys that could fit, and the host suffixes themselves (marked by a leading space)."""
-    own = suffixes(host)
+    own = suffixes(host, longest)
     return [s + path[:n] for s in own for n in lengths if n <= len(path)] + [" " + s for s in own]
 
 
@@ -132,6 +132,7 @@ def _by_index(out: DataFrame, rules: Sequence[Rule], entries: list[str]) -> Data
     spark = out.sparkSession
     content = build_index(entries)
     name = publish(spark, content)
+    longest = max((len(e) for e in entries), default=0)
     lengths = sorted({len(p) for _, p, _ in rules})
     verdicts = {h + p: v for h, p, v in rules}
 
@@ -139,7 +140,7 @@ def _by_index(out: DataFrame, rules: Sequence[Rule], entries: list[str]) -> Data
         index = DigestArray(SparkFiles.get(name))
         for batch in batches:
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            probes = [probes_of(h, p, lengths) for h, p in zip(hosts, paths, strict=True)]
+            probes = [probes_of(h, p, lengths, longest) for h, p in zip(hosts, paths, strict=True)]
             found = index.find([x.encode() for own in probes for x in own]) >= 0
             rule, verdict, i = [], [], 0
             for own in probes:
@@ -166,7 +167,8 @@ def _by_join(out: DataFrame, rules: Sequence[Rule], entries: list[str]) -> DataF
     verdicts = {h + p: v for h, p, v in rules}
     table = spark.createDataFrame([(e, verdicts.get(e)) for e in sorted(set(entries))], "entry string, v string")
     labels = F.split("host", r"\.")
-    own = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    most = max((e.count(".") + 1 for e in entries), default=1)
+    own = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - most + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     tries = F.flatten(F.transform(own, lambda s: F.concat(F.array(F.concat(F.lit(" "), s)), F.filter(F.array(*[F.when(F.length("path") >= n, F.concat(s, F.substring("path", 1, n))) for n in lengths]), lambda x: x.isNotNull()))))
     distinct = kept.select("host", "path").where("host <> ''").distinct()
     hits = distinct.withColumn(probe, F.explode(tries)).join(table, F.col(probe) == F.col("entry"))
