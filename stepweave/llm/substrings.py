@@ -246,7 +246,7 @@ def layout(rows: DataFrame, part_bytes: int) -> tuple[list[int], int]:
     total, q = got["bytes"] or 0, [b for b in got["q"] or [] if b is not None]
     parts = max(1, -(-total // part_bytes))
     if q:  # between the quantiles the bounds are dealt evenly
-        q = sorted({int(x) for x in np.interp(np.linspace(0, len(q) - 1, max(2, parts))[1:-1] if parts < 1000 else np.linspace(0, len(q) - 1, parts), np.arange(len(q)), np.array(q, np.float64))}) if parts > 1 else []
+        q = sorted({min(int(x), NO_ID) for x in np.interp(np.linspace(0, len(q) - 1, max(2, parts))[1:-1] if parts < 1000 else np.linspace(0, len(q) - 1, parts), np.arange(len(q)), np.array(q, np.float64))}) if parts > 1 else []
     return q, max(4, (total // BUCKET).bit_length())
 
 
