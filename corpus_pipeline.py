@@ -14,37 +14,71 @@ from stepweave.llm.common import WORD, store
 SENT_IDS = 1_000_000
 
 
+#: Ids given to rows without one, beyond all others: equal texts have the same.
+NAMELESS = 2**62
+
+
+def _apart(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame], dict[str, str]]:
+    """docs with all columns but doc_id and text under names of our own, what gives them their names back, and those names."""
+    names = {c: c if c in ("doc_id", "text") else f"own_{i}_" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), lambda out: out.select(*(F.col(n).alias(c) for c, n in names.items())), names
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found go on; those without a letter (und), or between two languages (ambiguous), go."""
+    """Documents whose language is found go on; those without a letter (und), or between two languages (ambiguous), go.
+
+    Null and empty texts are und. Rows without an id are judged like others, but are not learned from. Equal texts fare alike. No rows: no rows.
+    Columns keep their values, whatever their names.
+    """
     model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
-    out = language.identify(docs, model)
-    return out.where("lang_pred <> 'und' and not ambiguous").select(*docs.columns)
+    own, back, _ = _apart(docs)
+    return back(language.identify(own, model).where("lang_pred <> 'und' and not ambiguous"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One line of each component of similar lines stays; a document of which no word is left goes."""
-    out = lines.dedup_lines(docs)
-    left = (F.col("n_removed") == 0) | F.col("text").rlike(WORD)
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.where(left).withColumn("n_chars", n_chars).select(*docs.columns)
+    """One line of each component of similar lines stays; a document of which no word is left goes.
+
+    Texts from which nothing is removed stay as they are, null and empty ones too. See dedup_lines for ids that are null or shared. n_chars, where
+    there is one, is brought up to date. No rows: no rows.
+    """
+    own, back, names = _apart(docs)
+    out = lines.dedup_lines(own)
+    out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
+    if chars := names.get("n_chars"):
+        out = out.withColumn(chars, F.when(F.col("n_removed") > 0, F.length("text").cast(own.schema[chars].dataType)).otherwise(F.col(chars)))
+    return back(out)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays: five-word shingles, similarity of 0.8 or more."""
-    found = minhash.near_duplicates(docs)
-    kept = found.where("kept").select("doc_id")
-    gone = store(found.where("not kept and doc_id is not null").select("doc_id").join(kept, "doc_id", "left_anti").distinct(), "near-gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component of near copies stays, the one of the smallest id: five-word shingles, similarity of 0.8 or more.
+
+    Documents without a word have no copies. Rows without an id come after all others; of those with equal texts one stays. Of rows that share
+    an id all stay if one is kept. No rows: no rows.
+    """
+    own, back, _ = _apart(docs)
+    own = own.withColumn("key_", F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS) + F.pmod(F.xxhash64("text"), F.lit(NAMELESS - 1))))
+    found = minhash.near_duplicates(own, key="key_")
+    kept = found.where("kept").select(F.col("doc_id").alias("key_"))
+    gone = store(found.where("not kept").select(F.col("doc_id").alias("key_")).join(kept, "key_", "left_anti").distinct(), "near-gone")
+    left = own.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, "key_", "left_anti")
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    once = left.where(F.col("doc_id").isNull() & worded).dropDuplicates(["text"])
+    return back(left.where(F.col("doc_id").isNotNull() | ~worded).unionByName(once))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go. Null and empty texts hold none. Each row is judged by its own text; no rows: no rows."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.decontaminate(docs, benchmark).where("not contaminated").select(*docs.columns)
+    own, back, _ = _apart(docs)
+    return back(decontaminate.decontaminate(own, benchmark).where("not contaminated"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document: its words times its whole epochs, and once more if drawn."""
+    """What the mix takes of each document: its words times its whole epochs, and once more if drawn.
+
+    Documents without a word, null texts too, give nothing and have no row. A null source is a source. Repeated rows are drawn each on
+    their own; no rows: no rows.
+    """
     mixed = mixing.mix(docs).where("taken > 0")
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
