@@ -25,21 +25,18 @@ def grid(samples: DataFrame, step_ns: int, recording: str = "recording_id", stre
 def neighbours(samples: DataFrame, points: DataFrame, value: str, recording: str = "recording_id", stream: str = "stream", t: str = "t_ns") -> DataFrame:
     """For each grid point and stream of its recording: the samples before (pt, px) and after (nt, nx) it, itself included.
 
-    One shuffle by recording and stream and one sort; no join on ranges.
+    Samples without a value or a time are left out; of samples at the same time the largest value counts. One shuffle by recording and
+    stream and a sort each way; no join on ranges.
     """
+    samples = samples.where(F.col(value).isNotNull() & F.col(t).isNotNull())
     streams = samples.select(recording, stream).distinct()
     asked = points.join(streams, recording).select(recording, stream, t, F.lit(None).cast(samples.schema[value].dataType).alias(value), F.lit(1).alias("_g"))
     rows = samples.select(recording, stream, t, value, F.lit(0).alias("_g")).union(asked)
-    at = Window.partitionBy(recording, stream).orderBy(t)
-    before, after = at.rangeBetween(Window.unboundedPreceding, 0), at.rangeBetween(0, Window.unboundedFollowing)
-    own = lambda c: F.when(F.col("_g") == 0, F.col(c))
-    out = rows.withColumns({
-        "pt": F.last(own(t), ignorenulls=True).over(before),
-        "px": F.last(own(value), ignorenulls=True).over(before),
-        "nt": F.first(own(t), ignorenulls=True).over(after),
-        "nx": F.first(own(value), ignorenulls=True).over(after),
-    })
-    return out.where("_g = 1").drop("_g", value)
+    # growing frames both ways: a frame up to the end would be gone through anew for each row
+    upto = lambda *by: Window.partitionBy(recording, stream).orderBy(*by).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = lambda sign: F.when(F.col("_g") == 0, F.struct((sign * F.col(t)).alias("t"), F.col(value).alias("x")))
+    out = rows.withColumn("_p", F.max(own(1)).over(upto(F.col(t)))).withColumn("_n", F.max(own(-1)).over(upto(F.col(t).desc())))
+    return out.where("_g = 1").select(recording, stream, t, F.col("_p.t").alias("pt"), F.col("_p.x").alias("px"), (-F.col("_n.t")).alias("nt"), F.col("_n.x").alias("nx"))
 
 
 def between(t: Column, pt: Column, px: Column, nt: Column, nx: Column) -> Column:
@@ -62,6 +59,7 @@ def align(samples: DataFrame, hz: float | None = None, value: str = "value", kin
         if hz is None or hz <= 0:
             raise IngestError(f"the rate is {hz} Hz; it has to be above 0")
         step_ns = int(1e9 / hz)
+    samples = samples.where(F.col(value).isNotNull() & F.col(t).isNotNull())
     near = neighbours(samples, grid(samples, step_ns, recording, stream, t), value, recording, stream, t)
     ends = [F.col(c) for c in (t, "pt", "px", "nt", "nx")]
     if kind is None:

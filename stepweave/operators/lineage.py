@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import LineageError
+from ..work import stored
 
 SNAPSHOTS = "snapshot_id string, name string, project string, episode_ids array<string>, recipe string, created_at timestamp, metadata map<string,string>"
 EXPERIMENTS = "experiment_id string, name string, project string, dataset_snapshot string, parent_id string, hypothesis string, assumptions array<string>, tags array<string>, metrics map<string,double>, config map<string,string>, status string, git_commit string, notes string, created_at timestamp, completed_at timestamp"
@@ -155,18 +156,24 @@ def latest(experiments: DataFrame, by: str) -> DataFrame:
 
 
 def ancestors(experiments: DataFrame, leaves: DataFrame, key: str = "experiment_id", parent: str = "parent_id") -> DataFrame:
-    """(leaf, key, depth): each leaf at depth 0 and what it descends from. A missing parent ends a chain, and so does a cycle."""
-    spark = experiments.sparkSession
-    experiments.select(F.col(key).alias("id"), F.col(parent).alias("up")).createOrReplaceTempView("_stepweave_nodes")
-    leaves.select(F.col(key).alias("id")).createOrReplaceTempView("_stepweave_leaves")
-    return spark.sql(f"""
-        WITH RECURSIVE chain(leaf, id, up, depth, path) AS (
-            SELECT n.id, n.id, n.up, 0, array(n.id) FROM _stepweave_nodes n JOIN _stepweave_leaves l ON n.id = l.id
-            UNION ALL
-            SELECT c.leaf, n.id, n.up, c.depth + 1, array_append(c.path, n.id)
-            FROM chain c JOIN _stepweave_nodes n ON n.id = c.up
-            WHERE NOT array_contains(c.path, n.id)
-        ) SELECT leaf, id AS {key}, depth FROM chain""")
+    """(leaf, key, depth): each leaf at depth 0 and what it descends from. A missing parent ends a chain, and so does a cycle.
+
+    Pointers are doubled: after k rounds all ancestors up to depth 2 ** k are there, so the joins number the logarithm of the depth,
+    which has no limit. Each round's tables are written.
+    """
+    nodes = experiments.select(F.col(key).alias("id"), F.col(parent).alias("up"))
+    jump = stored(nodes.join(nodes.select(F.col("id").alias("up")), "up").select("id", "up"), "jumps")
+    found = stored(nodes.select("id").join(leaves.select(F.col(key).alias("id")).distinct(), "id").select(F.col("id").alias("leaf"), "id", F.lit(0).cast("bigint").alias("depth")), "found")
+    step = 1
+    while True:
+        further = found.join(jump, "id").groupBy("leaf", F.col("up").alias("id")).agg(F.min(F.col("depth") + step).alias("depth"))
+        further = stored(further.join(found.select("leaf", "id"), ["leaf", "id"], "left_anti"), "further")
+        if not further.head(1):
+            return found.select("leaf", F.col("id").alias(key), F.col("depth").cast("int").alias("depth"))
+        found = stored(found.unionByName(further), "found")
+        over = jump.select(F.col("id").alias("up"), F.col("up").alias("top"))
+        jump = stored(jump.join(over, "up").select("id", F.col("top").alias("up")), "jumps")
+        step *= 2
 
 
 def added_removed(a: DataFrame, b: DataFrame, key: str = "episode_id") -> DataFrame:

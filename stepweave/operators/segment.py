@@ -54,11 +54,13 @@ def cut(steps: DataFrame, boundaries: DataFrame, key: str = "recording_id", i: s
 
 
 def choose(strategy: str, streams: DataFrame, markers: DataFrame, key: str = "recording_id", stream: str = "stream") -> DataFrame:
-    """(key, by): what cuts each recording: gripper, velocity, markers or none. A gripper stream wins even without a change."""
+    """(key, by): what cuts each recording: gripper, velocity, markers or none. A gripper stream wins even without a change.
+
+    A stream with gripper in its name is one; velocity is the stream joint_vel and no other. Names are taken as they are written.
+    """
     if strategy not in STRATEGIES:
         raise IngestError(f"strategy is {strategy!r}; choose one of {', '.join(STRATEGIES)}")
-    has = lambda word: F.max(F.contains(F.lower(stream), F.lit(word)))
-    own = streams.groupBy(key).agg(has("gripper").alias("_g"), has("vel").alias("_v"))
+    own = streams.groupBy(key).agg(F.max(F.contains(stream, F.lit("gripper"))).alias("_g"), F.max(F.col(stream) == "joint_vel").alias("_v"))
     own = own.join(markers.select(key).distinct().withColumn("_m", F.lit(True)), key, "left")
     marked = F.when(F.col("_m"), "markers").otherwise("none")
     if strategy == "auto":

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..operators import align, catalog, lineage, sampling, scoring, segment, serve
+from ..operators import align, catalog, lineage, ranking, sampling, scoring, segment, serve
 from .tables import documents_catalog, samples, steps, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -235,8 +235,8 @@ def query_empty_list(spark, sf_dir):
 @query(f"{SCORED}, du AS (SELECT episode_id, (max(t_ns) - min(t_ns)) / 1e9 AS duration_s FROM st GROUP BY episode_id) SELECT row_number() OVER (ORDER BY overall ASC NULLS LAST, episode_id)::INTEGER AS place, episode_id, round(duration_s, 6) AS duration_s, overall FROM sc JOIN du USING (episode_id)")
 def list_episodes(spark, sf_dir):
     own = scored(spark, sf_dir, keep=[(F.max("t_ns") - F.min("t_ns")).alias("duration_ns")]).withColumns({"task_key": F.lit(None).cast("string"), "embodiment_key": F.lit(None).cast("string")})
-    w = Window.orderBy(F.col("overall").asc_nulls_last(), "episode_id")
-    return catalog.listing(own).select(F.row_number().over(w).alias("place"), "episode_id", r6("duration_s").alias("duration_s"), "overall")
+    ranked = ranking.global_rank(catalog.listing(own), [F.col("overall").asc_nulls_last(), F.col("episode_id")], "place")
+    return ranked.select(F.col("place").cast("int").alias("place"), "episode_id", r6("duration_s").alias("duration_s"), "overall")
 
 
 @query(f"{SCORED} SELECT episode_id, n AS n_steps, overall FROM sc WHERE episode_id = 7")
@@ -391,17 +391,17 @@ def segment_steps(spark, sf_dir):
     return cut.groupBy("episode_id").agg(F.count("*").alias("n_steps"), F.min("i").alias("first_step"))
 
 
-STREAMS = "s AS (SELECT user_id AS recording_id, CASE event_type WHEN 'error' THEN 'gripper_state' WHEN 'signup' THEN 'joint_vel' WHEN 'click' THEN 'action_arm' ELSE event_type END AS stream, epoch_us(ts) * 1000 AS t_ns FROM events WHERE NOT (user_id % 3 = 0 AND event_type = 'error') AND NOT (user_id % 2 = 0 AND event_type = 'signup') AND NOT (user_id % 5 = 0 AND event_type = 'click'))"
+STREAMS = "s AS (SELECT user_id AS recording_id, CASE event_type WHEN 'error' THEN 'gripper_state' WHEN 'signup' THEN 'joint_vel' WHEN 'click' THEN 'action_arm' WHEN 'view' THEN 'robot_cmd_vel' ELSE event_type END AS stream, epoch_us(ts) * 1000 AS t_ns FROM events WHERE NOT (user_id % 3 = 0 AND event_type = 'error') AND NOT (user_id % 2 = 0 AND event_type = 'signup') AND NOT (user_id % 5 = 0 AND event_type = 'click'))"
 
 
 def role_streams(spark, sf_dir) -> DataFrame:
     own = samples(spark, sf_dir)
-    name = F.when(F.col("stream") == "error", "gripper_state").when(F.col("stream") == "signup", "joint_vel").when(F.col("stream") == "click", "action_arm").otherwise(F.col("stream"))
+    name = F.when(F.col("stream") == "error", "gripper_state").when(F.col("stream") == "signup", "joint_vel").when(F.col("stream") == "click", "action_arm").when(F.col("stream") == "view", "robot_cmd_vel").otherwise(F.col("stream"))
     own = own.where("not (recording_id % 3 = 0 and stream = 'error') and not (recording_id % 2 = 0 and stream = 'signup') and not (recording_id % 5 = 0 and stream = 'click')")
     return own.withColumn("stream", name)
 
 
-@query(f"""WITH {STREAMS}, g AS (SELECT recording_id, bool_or(contains(stream, 'gripper')) AS gr, bool_or(contains(stream, 'vel')) AS ve FROM s GROUP BY 1)
+@query(f"""WITH {STREAMS}, g AS (SELECT recording_id, bool_or(contains(stream, 'gripper')) AS gr, bool_or(stream = 'joint_vel') AS ve FROM s GROUP BY 1)
   SELECT recording_id, CASE WHEN gr THEN 'gripper' WHEN ve THEN 'velocity' WHEN recording_id % 7 = 0 THEN 'markers' ELSE 'none' END AS by FROM g""")
 def boundary_priority(spark, sf_dir):
     streams = role_streams(spark, sf_dir)
@@ -591,16 +591,16 @@ def config_changes(spark, sf_dir):
 
 
 def experiments(spark, sf_dir) -> DataFrame:
-    """orders as experiments: a customer is a project, the order before is the parent; in runs of 20, so that chains end."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("experiment_id"), F.col("o_custkey").alias("project"), F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("k"))
+    """orders as experiments: a tenth of the customers is a project, the order before is the parent; in chains that start anew at every 150th."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("experiment_id"), (F.col("o_custkey") % 10).alias("project"), F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("k"))
     w = Window.partitionBy("project").orderBy("created_at", "k")
     o = o.withColumns({"n": F.row_number().over(w) - 1, "before": F.lag("experiment_id").over(w)})
-    return o.withColumn("parent_id", F.when(F.col("n") % 20 != 0, F.col("before")))
+    return o.withColumn("parent_id", F.when(F.col("n") % 150 != 0, F.col("before")))
 
 
-EXPERIMENTS = """o AS (SELECT CAST(o_orderkey AS VARCHAR) AS experiment_id, o_custkey AS project, o_orderdate AS created_at, o_orderkey AS k FROM orders),
+EXPERIMENTS = """o AS (SELECT CAST(o_orderkey AS VARCHAR) AS experiment_id, o_custkey % 10 AS project, o_orderdate AS created_at, o_orderkey AS k FROM orders),
   x AS (SELECT *, row_number() OVER w - 1 AS n, lag(experiment_id) OVER w AS before FROM o WINDOW w AS (PARTITION BY project ORDER BY created_at, k)),
-  ex AS (SELECT *, CASE WHEN n % 20 <> 0 THEN before END AS parent_id FROM x)"""
+  ex AS (SELECT *, CASE WHEN n % 150 <> 0 THEN before END AS parent_id FROM x)"""
 
 
 @query(f"WITH {EXPERIMENTS} SELECT experiment_id, project, parent_id FROM ex")

@@ -182,3 +182,29 @@ def test_sessions_stream(spark, tmp_path):
     q.stop()
     got = sorted((r["k"], r["n_steps"], r["mean_value"]) for r in spark.table("sessions_out").collect())
     assert ("a", 2, 2.0) in got and ("a", 1, 5.0) in got
+
+
+def test_chains_of_a_thousand(spark):
+    own = spark.range(1000).select(F.col("id").cast("string").alias("experiment_id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent_id"))
+    got = lineage.ancestors(own, own.where("experiment_id in ('999', '5')").select("experiment_id"))
+    assert {(r["leaf"], r["n"], r["deep"]) for r in got.groupBy("leaf").agg(F.countDistinct("experiment_id").alias("n"), F.max("depth").alias("deep")).collect()} == {("999", 1000, 999), ("5", 6, 5)}
+
+
+def test_saved_ids_are_unique_and_agree(spark, tmp_path):
+    """Many rows with a payload: bounds of ranges that are sampled twice would number them twice."""
+    own = spark.range(200_000).select(F.md5(F.col("id").cast("string")).alias("episode_id"), F.lit("t").alias("task"), F.repeat(F.lit("x"), 40).alias("source_path"))
+    st = store.Store(spark, str(tmp_path / "s"))
+    st.save(own.select("episode_id", F.lit(0).cast("bigint").alias("t_ns")), own)
+    row = st.episodes().agg(F.countDistinct("episode_id").alias("n"), F.min("episode_num").alias("lo"), F.max("episode_num").alias("hi")).first()
+    assert (row["n"], row["lo"], row["hi"]) == (200_000, 1, 200_000)
+    assert st.steps().join(st.episodes(), "episode_id", "left_anti").isEmpty() and st.steps().select("episode_id").distinct().count() == 200_000
+    st.save(own.limit(2).select("episode_id", F.lit(0).cast("bigint").alias("t_ns")), own.limit(2))
+    assert st.episodes().where("episode_num > 200000").count() == 2 and st.load("ep_200001").count() == 1
+
+
+def test_numbers_of_a_broken_save_are_not_given_again(spark, tmp_path):
+    st = store.Store(spark, str(tmp_path / "s"))
+    one = spark.createDataFrame([("a", "t", 0)], "episode_id string, task string, t_ns bigint")
+    st.save(one.select("episode_id", "t_ns"), one.select("episode_id", "task"))
+    spark.createDataFrame([(1, "ep_0007", 0)], "t_ns bigint, episode_id string, _bucket int").select("t_ns", "episode_id", "_bucket").write.mode("append").partitionBy("_bucket").parquet(str(tmp_path / "s" / "steps"))
+    assert [r["episode_num"] for r in st.save(one.select("episode_id", "t_ns"), one.select("episode_id", "task")).collect()] == [8]

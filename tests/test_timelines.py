@@ -78,3 +78,15 @@ def test_choice_of_what_cuts(spark):
     assert got == {"a": "gripper", "b": "velocity", "c": "markers", "d": "none"}
     with pytest.raises(IngestError):
         segment.choose("other", streams, marks)
+
+
+def test_samples_without_a_value_are_no_neighbours(spark):
+    rows = [("a", "x", 0, 0.0), ("a", "x", 10, None), ("a", "x", 20, 20.0), ("a", "x", 30, 30.0), ("a", "x", 30, 28.0), ("a", "x", None, 5.0)]
+    got = align.align(spark.createDataFrame(rows, "recording_id string, stream string, t_ns bigint, value double"), step_ns=5)
+    assert [(r["t_ns"], r["value"]) for r in got.orderBy("t_ns").collect()] == [(0, 0.0), (5, 5.0), (10, 10.0), (15, 15.0), (20, 20.0), (25, 25.0), (30, 30.0)]
+
+
+def test_only_joint_vel_is_the_velocity(spark):
+    streams = spark.createDataFrame([("a", "robot_cmd_vel"), ("b", "Gripper"), ("b", "joint_vel"), ("c", "left_gripper_pos")], "recording_id string, stream string")
+    marks = spark.createDataFrame([("a", 1)], "recording_id string, marker_ns bigint")
+    assert {r["recording_id"]: r["by"] for r in segment.choose("auto", streams, marks).collect()} == {"a": "markers", "b": "velocity", "c": "gripper"}
