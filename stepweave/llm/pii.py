@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 ROUNDS = 10
+#: Characters that are permuted together at most.
+LONG = 256
 #: Dates from and to.
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -81,7 +83,9 @@ def refill(pattern: str, chars: str, keep: str) -> str:
 
 
 def by_class(value: str, f: Feistel, tweak: str, back: bool) -> str:
-    """Letters and digits permuted together, each place within its class; other characters stay."""
+    """Letters and digits permuted together, each place within its class; other characters stay. Over LONG characters, LONG at a time."""
+    if len(value) > LONG:
+        return "".join(by_class(value[i : i + LONG], f, f"{tweak}{i}/", back) for i in range(0, len(value), LONG))
     sets = [next((s for s in (DIGITS, LOWER, UPPER) if c in s), c) for c in value]
     n, x = 1, 0
     for c, s in zip(value, sets, strict=True):
