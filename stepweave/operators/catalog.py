@@ -57,8 +57,13 @@ def find(episodes: DataFrame, **wanted) -> DataFrame:
     return episodes.where(matches(**wanted)).orderBy("episode_id")
 
 
+def inverted_rows(episodes: DataFrame, key: str, episode: str = "episode_id") -> DataFrame:
+    """(key, episode), each once: which episodes have a key, one row each however many there are. Written by key, a lookup reads its rows only."""
+    return episodes.where(F.col(key).isNotNull()).select(key, episode).distinct()
+
+
 def inverted(episodes: DataFrame, key: str, episode: str = "episode_id") -> DataFrame:
-    """(key, n, episode_ids): which episodes have a key."""
+    """(key, n, episode_ids): inverted_rows() as one list for each key, for catalogs whose lists fit in a row."""
     return episodes.where(F.col(key).isNotNull()).groupBy(key).agg(F.countDistinct(episode).alias("n"), F.array_sort(F.collect_set(episode)).alias("episode_ids"))
 
 

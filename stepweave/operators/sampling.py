@@ -9,6 +9,8 @@ from ..errors import ComposeError
 from ..functions.keys import unit_interval
 
 STRATEGIES = ("none", "stratified", "quality_weighted")
+#: Strata up to which their quotas are sent to every executor; beyond that they are joined.
+STRATA = 100_000
 
 
 def first_n(episodes: DataFrame, limit: int | None, order: str = "episode_id") -> DataFrame:
@@ -31,10 +33,17 @@ def stratified(episodes: DataFrame, limit: int | None, stratum: str = "task", ep
     left = F.col("_cap") - F.sum("_taken").over(whole)
     before = F.coalesce(F.sum("_spare").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     plan = plan.withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("_spare"), left - before)))
-    plan = plan.select(F.col(stratum).alias("_s"), (F.col("_taken") + F.col("_extra")).alias("_n"))
-    shuffle = Window.partitionBy(stratum).orderBy(unit_interval(F.col(episode), seed), episode)
-    ranked = episodes.withColumn("stratum_rank", F.row_number().over(shuffle))
-    return ranked.join(plan, F.col(stratum).eqNullSafe(F.col("_s"))).where(F.col("stratum_rank") <= F.col("_n")).drop("_s", "_n")
+    plan = plan.select(F.col(stratum).alias("_s"), (F.col("_taken") + F.col("_extra")).alias("_n"), "_size")
+    # only rows whose draw is low enough to be among the first are ranked: about as many as are asked for, not the whole stratum
+    draw = unit_interval(F.col(episode), seed)
+    plan = plan.withColumn("_below", (F.col("_n") + 6 * F.sqrt("_n") + 10) / F.col("_size"))
+    placed = episodes.withColumn("_u", draw).join(F.broadcast(plan) if sizes.count() <= STRATA else plan, F.col(stratum).eqNullSafe(F.col("_s")))
+    # a stratum in which chance leaves too few below (one in 10 ** 9) is ranked whole
+    short = placed.groupBy("_s").agg(F.count_if(F.col("_u") < F.col("_below")).alias("_got"), F.max("_n").alias("_least")).where("_got < _least").select(F.col("_s").alias("_t"), F.lit(True).alias("_short"))
+    placed = placed.join(short, F.col("_s").eqNullSafe(F.col("_t")), "left").drop("_t") if short.head(1) else placed.withColumn("_short", F.lit(False))
+    low = placed.where((F.col("_u") < F.col("_below")) | F.coalesce("_short", F.lit(False)))
+    ranked = low.withColumn("stratum_rank", F.row_number().over(Window.partitionBy(stratum).orderBy("_u", episode)))
+    return ranked.where(F.col("stratum_rank") <= F.col("_n")).drop("_s", "_n", "_u", "_below", "_size", "_short")
 
 
 def quality_weighted(episodes: DataFrame, limit: int | None, episode: str = "episode_id", seed: int = 0) -> DataFrame:
