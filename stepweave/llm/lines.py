@@ -69,12 +69,15 @@ def _members(rows: DataFrame) -> DataFrame:
     runs = F.transform(F.array(ring(F.sort_array("v"), FEW)), lambda c: F.transform(F.sequence(F.lit(1), F.size("v")), lambda i: run(c, i)))
     own = own.withColumn("small", F.when(F.size("v") <= SMALL, F.get(runs, F.lit(0))).otherwise(none))
     own = own.withColumn("circle", F.when(F.size("v") > LARGE, ring(F.sort_array(F.concat("v", points)), MANY + 1)).otherwise(none)).drop("v")
-    # points are told by their low bits; one pass, as array_position() for each would be many
-    point = lambda x, i: (x.bitwiseAND(F.lit(2 ** (64 - BITS) - 1)) == 0) & (i < F.size("circle") - MANY)
-    own = own.withColumn("at_", F.filter(F.transform("circle", lambda x, i: F.when(point(x, i), i)), lambda x: x.isNotNull()))
-    large = F.transform("at_", lambda i: F.xxhash64(F.slice("circle", i + 2, F.lit(MANY))))
+    # points are told by their low bits, in one pass; array_position() for each would be many. What a lambda uses has to be its own: a
+    # column of the project below would be made anew for each element
+    point = lambda c, x, i: (x.bitwiseAND(F.lit(2 ** (64 - BITS) - 1)) == 0) & (i < F.size(c) - MANY)
+    places = lambda c: F.filter(F.transform(c, lambda x, i: F.when(point(c, x, i), i)), lambda x: x.isNotNull())
+    behind = F.transform(F.array("circle"), lambda c: F.transform(places(c), lambda i: F.xxhash64(F.slice(c, i + 2, F.lit(MANY)))))
+    large = F.when(F.size("circle") > 0, F.get(behind, F.lit(0))).otherwise(none)
     own = own.select("node", "doc", "at", "times", F.concat("small", large).alias("bands"))
-    return own.select("node", "doc", "at", "times", F.posexplode("bands").alias("turn", "band"))
+    # outer, though there always is a band: else a filter is made of all these expressions once more
+    return own.select("node", "doc", "at", "times", F.posexplode_outer("bands").alias("turn", "band"))
 
 
 def _stars(members: DataFrame, hot: list[int]) -> DataFrame:
@@ -138,7 +141,7 @@ def _across(open_: DataFrame) -> DataFrame:
 
 def duplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 80) -> DataFrame:
     """(doc, marks): for each document id the lines to remove, named by mark()."""
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.posexplode(split_lines(F.col(text))).alias("at", "raw"))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.posexplode_outer(split_lines(F.col(text))).alias("at", "raw"))
     rows = rows.select("doc", "at", normal(F.col("raw")).alias("line"), mark(F.col("at"), F.col("raw")).alias("mark"))
     rows = rows.where(F.length("line") > SHORT).withColumn("node", F.xxhash64("line"))
     banded = store(_members(rows.select("node", "doc", "at", "line")), "bands")
