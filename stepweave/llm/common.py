@@ -70,10 +70,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITE), "")
 
 
-def spread(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names for work in progress that clash with none of the input's."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -1,5 +1,8 @@
+import os
 import random
 
+import pytest
+
 from stepweave.llm import lines
 
 from . import brute
@@ -47,3 +50,14 @@ def test_lines_of_repeats_are_linked_at_any_length(spark):
     got = left(spark, texts)
     assert got == brute.lines(list(enumerate(texts)), 0)
     assert [i for i, t in got.items() if t] == [0, 2, 4, 6, 8]
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001/documents.parquet"), reason="the given tables are not here")
+def test_lines_of_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs).collect()}
+    want = brute.lines(list(texts.items()), 0)
+    count = lambda own: sum(len((texts[i] or "").split("\n")) - len((t or "").split("\n")) for i, t in own.items())
+    wrong = [i for i in texts if (got[i] or "") != want[i]]
+    assert count(want) > 50 and abs(count(got) - count(want)) <= 0.02 * count(want) and len(wrong) <= 0.02 * len(texts)
