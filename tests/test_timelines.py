@@ -45,30 +45,30 @@ def test_no_overlap_and_bad_rate(spark):
 
 
 def recording(spark, closed):
-    rows = [("r", i, i * 20_000_000, 0.005 if i in closed else 0.04, 0.001 if i in closed else 0.1) for i in range(170)]
+    rows = [("r", i, i * 20_000_000, 0.011 if i in closed else 0.03, 0.002 if i in closed else 0.4) for i in range(150)]
     return spark.createDataFrame(rows, "recording_id string, i int, t_ns bigint, grip double, vel double")
 
 
 def test_gripper_gives_five_segments(spark):
-    own = recording(spark, {*range(50, 60), *range(110, 120)})
+    own = recording(spark, {*range(33, 47), *range(90, 101)})
     found = segment.transitions(own, F.col("grip") > segment.OPEN)
-    assert sorted(r["i"] for r in found.collect()) == [49, 59, 109, 119]
+    assert sorted(r["i"] for r in found.collect()) == [32, 46, 89, 100]
     assert segment.cut(own, found).select("segment").distinct().count() == 5
 
 
 def test_pauses_give_three_segments(spark):
-    own = recording(spark, {*range(50, 60), *range(110, 120)})
+    own = recording(spark, {*range(33, 47), *range(90, 101)})
     found = segment.pauses(own, F.abs("vel") < segment.STILL)
-    assert sorted((r["first"], r["last"], r["middle"]) for r in found.collect()) == [(50, 60, 55), (110, 120, 115)]
+    assert sorted((r["first"], r["last"], r["middle"]) for r in found.collect()) == [(33, 47, 40), (90, 101, 95)]
     assert segment.cut(own, found.select("recording_id", F.col("middle").alias("i"))).select("segment").distinct().count() == 3
-    trailing = segment.pauses(recording(spark, range(160, 170)), F.abs("vel") < segment.STILL).collect()
-    assert [(r["first"], r["last"]) for r in trailing] == [(160, 169)]
+    trailing = segment.pauses(recording(spark, range(139, 150)), F.abs("vel") < segment.STILL).collect()
+    assert [(r["first"], r["last"]) for r in trailing] == [(139, 149)]
 
 
 def test_marker_takes_the_step_at_or_after(spark):
     own = recording(spark, ())
     marks = spark.createDataFrame([("r", 20_000_001), ("r", 40_000_000), ("r", 10**12)], "recording_id string, marker_ns bigint")
-    assert sorted(r["i"] for r in segment.markers_to_steps(own, marks).collect()) == [2, 169]
+    assert sorted(r["i"] for r in segment.markers_to_steps(own, marks).collect()) == [2, 149]
 
 
 def test_choice_of_what_cuts(spark):
