@@ -34,21 +34,21 @@ def item_words(text: str | None) -> list[bytes]:
 class Phrases:
     """The windows of a block of items, numbered, by length."""
 
-    def __init__(self, items: list[tuple[int | None, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
         self.numbers: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = defaultdict(set)
+        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
         for item, text in items:
             own = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in item_words(text)]
             for i in range(max(1, len(own) - window + 1) if own else 0):
                 owners[tuple(own[i : i + window])].update(() if item is None else (item,))
-        self.by_length: list[tuple[np.ndarray, list[np.ndarray]]] = []
+        self.by_length: list[tuple[np.ndarray, list[list[str]]]] = []
         for n in sorted({len(p) for p in owners}):
             own = [p for p in owners if len(p) == n]
-            self.by_length.append((np.array(own, np.int64), [np.array(sorted(owners[p]), np.int64) for p in own]))
+            self.by_length.append((np.array(own, np.int64), [sorted(owners[p]) for p in own]))
         self.shortest = min((p.shape[1] for p, _ in self.by_length), default=0)
 
 
-def scan(texts: list[str | None], phrases: Phrases, shard_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def scan(texts: list[str | None], phrases: Phrases, shard_words: int) -> Iterator[tuple[int, np.ndarray, list[str]]]:
     """For each text: its number of words, merged spans of hit words (n x 2), items found."""
     at = 0
     while at < len(texts):
@@ -69,8 +69,8 @@ def scan(texts: list[str | None], phrases: Phrases, shard_words: int) -> Iterato
         yield from _shard(lengths, runs, where, phrases)
 
 
-def _shard(lengths: list[int], runs: list[np.ndarray], where: list[tuple[int, int, int]], phrases: Phrases) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    items: dict[int, set[int]] = defaultdict(set)
+def _shard(lengths: list[int], runs: list[np.ndarray], where: list[tuple[int, int, int]], phrases: Phrases) -> Iterator[tuple[int, np.ndarray, list[str]]]:
+    items: dict[int, set[str]] = defaultdict(set)
     hit: dict[int, np.ndarray] = {}
     if runs:
         index = FMIndex(np.concatenate(runs), len(phrases.numbers))
@@ -89,11 +89,11 @@ def _shard(lengths: list[int], runs: list[np.ndarray], where: list[tuple[int, in
                 np.add.at(marks, in_word[rows], 1)
                 np.add.at(marks, in_word[rows] + own.shape[1], -1)
                 for p in np.unique(phrase[rows]):
-                    items[d].update(owners[p].tolist())
+                    items[d].update(owners[p])
     none = np.empty((0, 2), np.int64)
     for d, n in enumerate(lengths):
         spans = np.flatnonzero(np.diff(np.r_[0, np.cumsum(hit[d])[:-1] > 0, 0])).reshape(-1, 2) if d in hit else none
-        yield n, spans, np.array(sorted(items.get(d, ())), np.int64)
+        yield n, spans, sorted(items.get(d, ()))
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -118,10 +118,10 @@ def cut(text: str, spans: np.ndarray) -> str:
     return b"".join([*out, raw[last:]]).decode("utf-8", "replace")
 
 
-def blocks_of(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[list[tuple[int | None, str]]]:
+def blocks_of(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[list[tuple[str | None, str]]]:
     """The items in lists of about most bytes; one list is on the driver at a time."""
     own, size = [], 0
-    for r in benchmark.where(F.col(text).isNotNull()).select(F.col(item).cast("long").alias("i"), F.col(text).alias("t")).toLocalIterator():
+    for r in benchmark.where(F.col(text).isNotNull()).select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).toLocalIterator():
         own.append((r["i"], r["t"]))
         size += len(r["t"])
         if size >= most:
@@ -131,7 +131,7 @@ def blocks_of(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item: str = "item_id", block_bytes: int = 8 << 20, shard_words: int = 2_000_000) -> DataFrame:
-    """Adds n_words, n_hit, spans (array of start and end word, merged), items (ids found, rising), contaminated, clean_text.
+    """Adds n_words, n_hit, spans (array of start and end word, merged), items (ids found, as strings, rising), contaminated, clean_text.
 
     A window is window consecutive words of an item; an item of fewer words, but not none, is one window. All words of all
     occurrences in a document are hit. clean_text has the hit words, and what stands between them, replaced by a line
@@ -144,7 +144,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
     out = docs.drop(*added)
     (probe,) = fresh(out, "probe_")
     kept = out.schema.fields
-    out = out.withColumns({probe: F.col(text), "spans": F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)"), "items": F.expr("cast(array() as array<bigint>)"), "n_words": F.lit(0).cast("long"), "clean_text": F.col(text)})
+    out = out.withColumns({probe: F.col(text), "spans": F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)"), "items": F.expr("cast(array() as array<string>)"), "n_words": F.lit(0).cast("long"), "clean_text": F.col(text)})
     schema = out.schema
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
@@ -160,8 +160,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
                     more = merge(found, np.array([(x["start"], x["end"]) for x in s], np.int64).reshape(-1, 2)) if s else found
                     spans.append([{"start": int(a), "end": int(b)} for a, b in more])
                     clean.append(cut(t, more) if len(more) else t)
-                    items.append(sorted({*ids.tolist(), *i}))
-                new = {"spans": pa.array(spans, pa.list_(span)), "items": pa.array(items, pa.list_(pa.int64())), "n_words": pa.array(n, pa.int64()), "clean_text": pa.array(clean, pa.string())}
+                    items.append(sorted({*ids, *i}))
+                new = {"spans": pa.array(spans, pa.list_(span)), "items": pa.array(items, pa.list_(pa.string())), "n_words": pa.array(n, pa.int64()), "clean_text": pa.array(clean, pa.string())}
                 yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
 
         return df.mapInArrow(run, schema)

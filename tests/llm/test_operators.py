@@ -166,6 +166,9 @@ def test_decontaminate(spark, none, block_bytes):
     assert brute.PLAIN.findall(got[501]["clean_text"]) == [] and got[1 * 3]["clean_text"] == dict(own)[3]
     assert decontaminate.decontaminate(none, items).count() == 0
     assert decontaminate.decontaminate(df, items.limit(0)).where("contaminated").count() == 0
+    named = spark.createDataFrame([(f"set/{i}", t) for i, t in ITEMS], "item_id string, text string")
+    kinds = {x for r in decontaminate.decontaminate(df, named).select("items").collect() for x in r["items"]}
+    assert kinds and all(x.startswith("set/") for x in kinds)
 
 
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
