@@ -131,11 +131,12 @@ def _led(open_: DataFrame, turn: int) -> DataFrame:
     return open_.join(drawn, "band").where("part <> of").select(*_pair("node", "lead")).distinct()
 
 
-def _across(open_: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that share a bucket but no component."""
-    left, right = sides(open_, [])
-    right = right.select("band", "block", "block2", F.col("node").alias("node2"), F.col("part").alias("part2"))
-    pairs = left.join(right, ["band", "block", "block2"]).where("part <> part2 and (block <> block2 or node < node2)")
+def _across(open_: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket but no component, as far as the sizes of their sets allow a link."""
+    left, right = sides(open_.join(texts.select("node", "size"), "node"), ["size"])
+    right = right.select("band", "block", "block2", F.col("node").alias("node2"), F.col("part").alias("part2"), F.col("size").alias("size2"))
+    likely = 100 * F.least("size", "size2") >= percent * F.greatest("size", "size2")
+    pairs = left.join(right, ["band", "block", "block2"]).where(likely & F.expr("part <> part2 and (block <> block2 or node < node2)"))
     return pairs.select(*_pair("node", "node2")).distinct()
 
 
@@ -161,7 +162,7 @@ def duplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
         open_ = _open(shared, groups)
         if open_.isEmpty():
             break
-        new = _led(open_, turn) if turn < ROUNDS else _across(open_)
+        new = _led(open_, turn) if turn < ROUNDS else _across(open_, texts, percent)
         new = store(new.join(tried, ["a", "b"], "left_anti"), "pairs")
         more = _confirm(texts, new, percent)
         if not more.isEmpty():
