@@ -9,8 +9,9 @@ count as hashes that all lines have. In between both are given.
 
 In each bucket nodes are compared with the bucket's smallest node; buckets known from a sample to be hot are salted first and
 their smallest nodes compared with each other. Buckets that still hold several components compare them with a leader
-drawn by hash, ROUNDS times. What is left apart then is compared across, in blocks. Every link is confirmed by the exact
-Jaccard similarity of the full sets of shingles; components come from hooking and contraction.
+drawn by hash, ROUNDS times. What is left apart then is compared across, in blocks, but for pairs that parity bitmaps rule out: each
+shingle flips one bit, so two bitmaps differ in at most as many bits as the sets have different members, and no link is ruled out.
+Every link is confirmed by the exact Jaccard similarity of the full sets of shingles; components come from hooking and contraction.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SHORT = 0
 SAMPLE, HOT, SALTS = 64, 256, 64
 #: Times that open buckets draw a leader.
 ROUNDS = 2
+#: A parity bitmap has so many words of 64 bits; of sets of over a thousand shingles it tells little, and more pairs are compared in full.
+PARITY = 8
 #: Ids up to which a set of ids is sent to every executor; beyond that it is joined.
 SENT_IDS = 1_000_000
 
@@ -131,11 +134,26 @@ def _led(open_: DataFrame, turn: int) -> DataFrame:
     return open_.join(drawn, "band").where("part <> of").select(*_pair("node", "lead")).distinct()
 
 
+def _parity(line: Column) -> list[Column]:
+    """The words of a line's parity bitmap: each of its distinct shingles flips one bit."""
+    flip = lambda w: lambda bits, x: bits.bitwiseXOR(F.when(F.pmod(F.shiftright(x, 6), F.lit(PARITY)) == w, F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long")))
+    words = F.transform(F.array(F.array_distinct(hashes(line))), lambda v: F.array(*(F.aggregate(v, F.lit(0).cast("long"), flip(w)) for w in range(PARITY))))
+    return [F.get(F.get(words, F.lit(0)), F.lit(w)) for w in range(PARITY)]
+
+
+def _maps(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, size, map) of the nodes of open_; map is the parity bitmap."""
+    ids = open_.select("node").distinct()
+    return store(texts.join(ids, "node", "left_semi").select("node", "size", F.struct(*(w.alias(f"w{i}") for i, w in enumerate(_parity(F.col("line"))))).alias("map")), "maps")
+
+
 def _across(open_: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes that share a bucket but no component, as far as the sizes of their sets allow a link."""
-    left, right = sides(open_.join(texts.select("node", "size"), "node"), ["size"])
-    right = right.select("band", "block", "block2", F.col("node").alias("node2"), F.col("part").alias("part2"), F.col("size").alias("size2"))
+    """Pairs (a, b) of nodes that share a bucket but no component, as far as sizes and parity bitmaps of their sets allow a link."""
+    left, right = sides(open_.join(_maps(open_, texts), "node"), ["size", "map"])
+    right = right.select("band", "block", "block2", F.col("node").alias("node2"), F.col("part").alias("part2"), F.col("size").alias("size2"), F.col("map").alias("map2"))
     likely = 100 * F.least("size", "size2") >= percent * F.greatest("size", "size2")
+    apart = sum((F.bit_count(F.col(f"map.w{i}").bitwiseXOR(F.col(f"map2.w{i}"))) for i in range(PARITY)), F.lit(0))
+    likely &= 100 * (F.col("size") + F.col("size2") - apart) >= percent * (F.col("size") + F.col("size2") + apart)
     pairs = left.join(right, ["band", "block", "block2"]).where(likely & F.expr("part <> part2 and (block <> block2 or node < node2)"))
     return pairs.select(*_pair("node", "node2")).distinct()
 

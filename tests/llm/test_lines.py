@@ -2,6 +2,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stepweave.llm import lines
 
@@ -52,6 +53,20 @@ def test_lines_of_repeats_are_linked_at_any_length(spark):
     assert [i for i, t in got.items() if t] == [0, 2, 4, 6, 8]
 
 
+def test_unlike_lines_of_one_bucket_are_ruled_out_before_they_are_paired(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 9)))
+    texts = [f"all rights are reserved by {' '.join(word() for _ in range(r.randint(6, 14)))}" for _ in range(700)]
+    texts += [f"{t} {r.randint(10, 99)}" for t in texts[:40]] + [f"{'ha ' * 200}{' '.join(word() for _ in range(60))}" for _ in range(10)]
+    rows = [(i, t, i) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "node long, line string, part long")
+    sized = df.select("node", "line", F.size(F.array_distinct(lines.hashes(F.col("line")))).alias("size"))
+    got = {(x["a"], x["b"]) for x in lines._across(df.select(F.lit(1).alias("band"), "node", "part"), sized, 80).collect()}
+    sets = [brute.line_sets(t) for t in texts]
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(want) >= 40 and want <= got and len(got) <= 2 * len(want)
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001/documents.parquet"), reason="the given tables are not here")
 def test_lines_of_the_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
