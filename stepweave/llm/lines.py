@@ -35,8 +35,8 @@ SHORT = 0
 SAMPLE, HOT, SALTS = 64, 256, 64
 #: Times that open buckets draw a leader.
 ROUNDS = 2
-#: A parity bitmap has so many words of 64 bits; of sets of over a thousand shingles it tells little, and more pairs are compared in full.
-PARITY = 8
+#: A parity bitmap has so many words of 64 bits, made SPLIT at a time; of sets of several thousand shingles it tells little, and more pairs are compared in full.
+PARITY, SPLIT = 32, 8
 #: Ids up to which a set of ids is sent to every executor; beyond that it is joined.
 SENT_IDS = 1_000_000
 
@@ -134,17 +134,22 @@ def _led(open_: DataFrame, turn: int) -> DataFrame:
     return open_.join(drawn, "band").where("part <> of").select(*_pair("node", "lead")).distinct()
 
 
-def _parity(line: Column) -> list[Column]:
-    """The words of a line's parity bitmap: each of its distinct shingles flips one bit."""
-    flip = lambda w: lambda bits, x: bits.bitwiseXOR(F.when(F.pmod(F.shiftright(x, 6), F.lit(PARITY)) == w, F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long")))
-    words = F.transform(F.array(F.array_distinct(hashes(line))), lambda v: F.array(*(F.aggregate(v, F.lit(0).cast("long"), flip(w)) for w in range(PARITY))))
-    return [F.get(F.get(words, F.lit(0)), F.lit(w)) for w in range(PARITY)]
+def _parity(line: Column) -> Column:
+    """A line's parity bitmap, as an array of words: each of its distinct shingles flips one bit."""
+    word = lambda x: F.pmod(F.shiftright(x, 6), F.lit(PARITY))
+    flip = lambda w: lambda bits, x: bits.bitwiseXOR(F.when(word(x) == w, F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long")))
+    # shingles are dealt out to stretches of SPLIT words first, so that each word does not look at all of them
+    own = lambda v, w: F.filter(v, lambda x: word(x).between(w, w + SPLIT - 1))
+    few = lambda u, w: F.array(*(F.aggregate(u, F.lit(0).cast("long"), flip(i)) for i in range(w, w + SPLIT)))
+    stretch = lambda v, w: F.get(F.transform(F.array(own(v, w)), lambda u: few(u, w)), F.lit(0))
+    words = F.transform(F.array(F.array_distinct(hashes(line))), lambda v: F.concat(*(stretch(v, w) for w in range(0, PARITY, SPLIT))))
+    return F.get(words, F.lit(0))
 
 
 def _maps(open_: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, size, map) of the nodes of open_; map is the parity bitmap."""
     ids = open_.select("node").distinct()
-    return store(texts.join(ids, "node", "left_semi").select("node", "size", F.struct(*(w.alias(f"w{i}") for i, w in enumerate(_parity(F.col("line"))))).alias("map")), "maps")
+    return store(texts.join(ids, "node", "left_semi").select("node", "size", _parity(F.col("line")).alias("map")), "maps")
 
 
 def _across(open_: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -152,9 +157,12 @@ def _across(open_: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     left, right = sides(open_.join(_maps(open_, texts), "node"), ["size", "map"])
     right = right.select("band", "block", "block2", F.col("node").alias("node2"), F.col("part").alias("part2"), F.col("size").alias("size2"), F.col("map").alias("map2"))
     likely = 100 * F.least("size", "size2") >= percent * F.greatest("size", "size2")
-    apart = sum((F.bit_count(F.col(f"map.w{i}").bitwiseXOR(F.col(f"map2.w{i}"))) for i in range(PARITY)), F.lit(0))
-    likely &= 100 * (F.col("size") + F.col("size2") - apart) >= percent * (F.col("size") + F.col("size2") + apart)
-    pairs = left.join(right, ["band", "block", "block2"]).where(likely & F.expr("part <> part2 and (block <> block2 or node < node2)"))
+    likely &= F.expr("part <> part2 and (block <> block2 or node < node2)")
+    # with so many members apart that the rest is too few; the first words alone rule out most pairs
+    differ = lambda n: sum((F.bit_count(F.get("map", F.lit(i)).bitwiseXOR(F.get("map2", F.lit(i)))) for i in range(n)), F.lit(0))
+    for n in (SPLIT, PARITY):
+        likely &= (100 + percent) * differ(n) <= (100 - percent) * (F.col("size") + F.col("size2"))
+    pairs = left.join(right, ["band", "block", "block2"]).where(likely)
     return pairs.select(*_pair("node", "node2")).distinct()
 
 

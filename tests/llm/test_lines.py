@@ -67,6 +67,25 @@ def test_unlike_lines_of_one_bucket_are_ruled_out_before_they_are_paired(spark):
     assert len(want) >= 40 and want <= got and len(got) <= 2 * len(want)
 
 
+def test_long_lines_that_nearly_are_similar_are_ruled_out_before_they_are_paired(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 9)))
+    base, texts = [word() for _ in range(75)], []
+    for i in range(120):
+        own = list(base)
+        for k in r.sample(range(75), 2 if i < 12 else 4):
+            own[k] = word()
+        texts.append(" ".join(own))
+    sets = [brute.line_sets(t) for t in texts]
+    near = {(a, b): 100 * len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for b in range(len(sets)) for a in range(b)}
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "node long, line string, part long")
+    sized = df.select("node", "line", F.size(F.array_distinct(lines.hashes(F.col("line")))).alias("size"))
+    got = {(x["a"], x["b"]) for x in lines._across(df.select(F.lit(1).alias("band"), "node", "part"), sized, 80).collect()}
+    want, below = {p for p, x in near.items() if x >= 80}, {p for p, x in near.items() if x < 75}
+    assert len(want) >= 40 and want <= got
+    assert len(below) >= 1000 and len(below & got) <= 0.05 * len(below)
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001/documents.parquet"), reason="the given tables are not here")
 def test_lines_of_the_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
